@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quern.llm.shared import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one key range, about.
-RANGE_ROWS = 20_000
+#: Rows in one key range, about, and the most ranges (as a power of two), which bounds the table of offsets.
+RANGE_ROWS, MOST_BITS = 2_000, 16
 
 
 def n_words(text: Column) -> Column:
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     budget = targets([r["source_size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
     rows = sum(r["n"] for r in totals)
-    bits = max(0, (max(rows, 1) // range_rows).bit_length())
+    bits = min(MOST_BITS, (rows // range_rows).bit_length())
     plan = spark.createDataFrame(
         [(r["source"], r["source_size"], t) for r, t in zip(totals, budget)],
         "source string, source_size long, target double",
