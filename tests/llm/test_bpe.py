@@ -8,9 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import bpe, pretokens
-
-ODD = ["", " ", "  ", "a  b", "a \n b", "a\n \n b", "\n\nfoo", "foo ", "foo  ", "it's we'll 'x", "x\t y", "a\x85b \xa0c", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c ", "日本語 テキスト", "🙂🙂 é́ ñ", "x" * 5000, "ab " * 300, "1234 567.89", "a\x1cb \x1d c", "\x00foo \x00foo foo"]
-
+from tests_bpe_odd import ODD
 
 @pytest.fixture(scope="module")
 def library():
