@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, mixing, simhash, substring, tokenfile, toxicity
+from quern.llm import bpe, langid, lmscore, mixing, simhash, substring, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_language_id": op2_language_id, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_substring": op6_substring, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+    return {"op1_token_files": op1_token_files, "op2_language_id": op2_language_id, "op3_lm_score": op3_lm_score, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_substring": op6_substring, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
