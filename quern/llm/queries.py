@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, lmscore, mixing, simhash, substring, tokenfile, toxicity
+from quern.llm import bpe, hnsw, langid, lmscore, mixing, simhash, substring, tokenfile, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors["vec_id"] % 50 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,8 +50,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_language_id": op2_language_id, "op3_lm_score": op3_lm_score, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_substring": op6_substring, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+    return {"op1_token_files": op1_token_files, "op2_language_id": op2_language_id, "op3_lm_score": op3_lm_score, "op4_simhash": op4_simhash, "op5_toxicity": op5_toxicity, "op6_substring": op6_substring, "op7_threshold_topk": op7_threshold_topk, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_vector_dedup": op10_vector_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
