@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from quern.plans import lookups
+from quern.plans.registry import Query
 
 FLAGSHIP = "q10_customer_regions"
+_ALL = [lookups.r]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for r in _ALL for name, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in _ALL for name, sql in r.sql.items()}
