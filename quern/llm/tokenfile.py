@@ -1,8 +1,8 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 A file is one Arrow IPC stream. Each row is a sequence of ``LENGTH`` ids and a mask of the same
-length (1: an id, 0: padding at the file's end), both fixed-size lists; every batch but the last has
-``ROWS`` rows. Sequence i is row ``i % ROWS`` of batch ``i // ROWS``; a mapped file gives it, and any
+length (true: an id, false: padding at the file's end; a bit each), both fixed-size lists; every batch but
+the last has ``ROWS`` rows. Sequence i is row ``i % ROWS`` of batch ``i // ROWS``; a mapped file gives it, and any
 document's ids, as views of its pages without a copy. A second stream beside it, the index, has
 (doc_id, first, n_tokens) for each document: the file's ids from ``first`` on. The manifest, one row
 for each file, is kept in order of doc_id; a file's base is the number of ids in those before it.
@@ -106,7 +106,7 @@ def encoder(vocabulary: str) -> Encoder:
 
 def schemas(kind: pa.DataType, id_type: pa.DataType) -> tuple[pa.Schema, pa.Schema]:
     of = lambda t: pa.list_(pa.field("item", t, nullable=False), LENGTH)
-    return pa.schema([("ids", of(kind)), ("mask", of(pa.uint8()))]), pa.schema([("doc_id", id_type), ("first", pa.int64()), ("n_tokens", pa.int64())])
+    return pa.schema([("ids", of(kind)), ("mask", of(pa.bool_()))]), pa.schema([("doc_id", id_type), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class Writer:
@@ -125,8 +125,8 @@ class Writer:
     def _rows(self, raw: bytes, n: int) -> None:
         ids = np.zeros(-(-n // LENGTH) * LENGTH, self.kind)
         ids[:n] = np.frombuffer(raw, self.kind)
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n] = 1
+        mask = np.zeros(len(ids), bool)
+        mask[:n] = True
         s = self.data_schema
         self.data.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), s, strict=True)], schema=s))
 
@@ -166,16 +166,15 @@ class Reader:
         opened = lambda p: pa.memory_map(p) if local else pa.BufferReader(fs.open_input_stream(p).read())
         self.index = pa.ipc.open_stream(opened(path + ".index"))
         self.batches = list(pa.ipc.open_stream(opened(path)))
-        flat = lambda k: [b.column(k).flatten().to_numpy(zero_copy_only=True) for b in self.batches]
-        self.ids, self.masks = flat(0), flat(1)
+        self.ids = [b.column(0).flatten().to_numpy(zero_copy_only=True) for b in self.batches]
+        self.masks = [b.column(1).flatten() for b in self.batches]
 
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         b, r = divmod(i, ROWS)
-        own = slice(r * LENGTH, (r + 1) * LENGTH)
-        return self.ids[b][own], self.masks[b][own]
+        return self.ids[b][r * LENGTH : (r + 1) * LENGTH], self.masks[b].slice(r * LENGTH, LENGTH)
 
     def run(self, first: int, n: int) -> np.ndarray:
         """``n`` ids from ``first`` on: a view unless they cross a batch."""
