@@ -34,7 +34,9 @@ from quern.llm.shared import fresh
 LENGTH, ROWS = 2048, 256
 #: Documents in one file, about.
 FILE_DOCS = 20_000
-MEMO = 500_000
+MEMO = 800_000
+#: Marks that are a token of their own after letters.
+MARKS = ".,;:!?"
 
 
 @functools.lru_cache(maxsize=2)
@@ -56,6 +58,7 @@ class Encoder:
         self.lengths = np.array([len(b) for b in pretokens.token_bytes(vocabulary)], np.int64)
         self.kind = np.dtype("<u2" if len(self.lengths) <= 1 << 16 else "<u4")
         self.rest: dict[str, bytes] = {}
+        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in MARKS}
 
     def _learn(self, new: list[str]) -> None:
         """Pieces joined by single spaces are a text that the library cuts at those spaces; the ids' byte lengths tell where."""
@@ -79,12 +82,17 @@ class Encoder:
         for p in cut:
             if p is not None:
                 seen.update(p[1:])
-        new = seen.difference(self.rest)
+        unseen = seen.difference(self.rest)
+        # letters and one mark are two matches of the pattern, so a word is learnt without its mark
+        marked = {p for p in unseen if p[-1] in MARKS and p[:-1].isalpha()}
+        new = (unseen - marked) | {p[:-1] for p in marked}.difference(self.rest)
         plain = [p for p in new if p.strip() == p and not pretokens_odd(p)]
         self._learn(plain)
         edged = list(new.difference(plain))
         for p, e in zip(edged, self.library.encode_batch_fast([" " + p for p in edged], add_special_tokens=False), strict=True):
             self.rest[p] = np.array(e.ids, self.kind).tobytes()
+        for p in marked:
+            self.rest[p] = self.rest[p[:-1]] + self.marks[p[-1]]
         whole = [t for t, p in zip(texts, cut, strict=True) if p is None]
         firsts = [p[0] for p in cut if p is not None]
         heads = iter(self.library.encode_batch_fast(firsts, add_special_tokens=False))
