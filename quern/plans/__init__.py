@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import lookups, network
+from quern.plans import groups, lookups, network
 from quern.plans.registry import Query
 
 FLAGSHIP = "q10_customer_regions"
-_ALL = [lookups.r, network.r, network.v, network.w]
+_ALL = [groups.v, groups.t, lookups.r, network.r, network.v, network.w]
 
 
 def queries() -> dict[str, Query]:
