@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         folder = "file://" + tempfile.mkdtemp(prefix="quern-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
