@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_token_files": op1_token_files, "op8_mixing": mixing.SQL}
+    return {"op6_substring": substring.SQL, "op7_threshold_topk": topk.SQL, "op8_mixing": mixing.SQL}

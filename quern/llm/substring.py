@@ -351,3 +351,16 @@ def trimmed(docs: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
 
     found = docs.join(repeats(docs, k, hot), F.col("doc_id") == F.col("_sub_id"), "left")
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], "_sub_spans").mapInArrow(run, docs.schema)
+
+
+#: The same in DuckDB, window by window.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM hit),
+each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT each.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY each.p) FILTER (gone.p IS NULL) AS t
+         FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.p = gone.p GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
