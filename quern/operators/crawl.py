@@ -102,3 +102,22 @@ def word_members(artists: DataFrame, groups: DataFrame, field: str, longest: int
     spots = groups.select(F.col("id").alias("dst"), w.alias("w")).select("dst", F.explode(F.array_distinct(runs)).alias("run"))
     key = F.array_join(F.filter(F.split(title_key(F.col("title")), r"[^\p{L}\p{N}]+"), lambda x: x != ""), " ")
     return artists.select(F.col("id").alias("src"), key.alias("key")).join(spots, F.col("key") == F.col("run")).select("src", "dst").distinct()
+
+
+#: What a link's title may not have, and what a page's text must have.
+EXCLUDED = r"^(file|category|template|help|wikipedia|special):|list of|\(film\)|discography"
+RELEVANT = r"k-pop|korea|band|singer|album|song"
+
+
+def excluded(title: Column, pattern: str = EXCLUDED) -> Column:
+    return F.lower(title).rlike(pattern)
+
+
+def relevant(text: Column, pattern: str = RELEVANT) -> Column:
+    return F.lower(text).rlike(pattern)
+
+
+def resolved_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (src, dst) both of whose ends were taken, whatever the order they were taken in."""
+    ids = nodes.select("id")
+    return links.distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")

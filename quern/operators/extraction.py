@@ -155,3 +155,34 @@ def degree_report(edges: DataFrame, top: int = 20) -> DataFrame:
 def closest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def by_gazetteer(docs: DataFrame, names: list[str], kind: str, confidence: float = 0.95) -> DataFrame:
+    """(doc_id, type, text, confidence): known names that a text contains."""
+    hit = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(n.lower())), F.lit(n)) for n in names]))
+    return docs.select("doc_id", F.lit(kind).alias("type"), F.explode(hit).alias("text"), F.lit(confidence).alias("confidence"))
+
+
+def from_fields(rows: DataFrame, fields: dict[str, tuple[str, float]]) -> DataFrame:
+    """(src, dst, rel_type, confidence): items of list-valued fields, each field with its relation and confidence."""
+    out = None
+    for field, (rel, sure) in fields.items():
+        part = rows.select(F.col("id").alias("src"), F.explode(N.split_list(F.col(field))).alias("dst"), F.lit(rel).alias("rel_type"), F.lit(sure).alias("confidence"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def classified(pairs: DataFrame, matrix: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(doc_id, src, dst, rel_type): pairs (doc_id, a, a_type, b, b_type, between) in either direction by rules
+    (type, type, relation, keyword that stands between), the first relation in order."""
+    rules = pairs.sparkSession.createDataFrame([(*m, i) for i, m in enumerate(matrix)], "t1 string, t2 string, rel_type string, keyword string, place int")
+    back = pairs.select("doc_id", F.col("b").alias("a"), F.col("b_type").alias("a_type"), F.col("a").alias("b"), F.col("a_type").alias("b_type"), "between")
+    at = pairs.select(*back.columns).unionByName(back).join(F.broadcast(rules), (F.col("a_type") == F.col("t1")) & (F.col("b_type") == F.col("t2")) & F.contains(F.lower("between"), F.col("keyword")))
+    return at.groupBy("doc_id", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min_by("rel_type", "place").alias("rel_type"))
+
+
+def plausible(relations: DataFrame, generic: list[str], least: float = 0.7) -> DataFrame:
+    """Relations (src, dst, rel_type, confidence, distance) that are sure and close enough, between names of 2 to 100 characters that say something."""
+    named = lambda c: F.length(c).between(2, 100) & ~F.lower(c).isin(*generic)
+    far = F.when(F.col("rel_type") == "MEMBER_OF", 100).otherwise(150)
+    return relations.filter(named(F.col("src")) & named(F.col("dst")) & (F.col("src") != F.col("dst")) & (F.col("confidence") >= least) & (F.col("distance") <= far))

@@ -115,3 +115,25 @@ def history(turns: DataFrame, most: int = 3) -> DataFrame:
     """(conv_id, turn, recent): each turn with the last ``2 * most`` turns before it, oldest first."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2 * most, -1)
     return turns.select("conv_id", "turn", F.collect_list(F.concat_ws(": ", "role", "text")).over(w).alias("recent"))
+
+
+def seed_paths(graph: Graph, seeds: DataFrame, most: int = 2, each: int = 3) -> DataFrame:
+    """(question_id, src, dst, path): up to ``each`` shortest simple paths between the seeds (question_id, id) of a question."""
+    from quern.operators.paths import simple_paths
+
+    both = graph.both_ways().select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
+    walks = simple_paths(both, seeds.select("id").distinct(), most)
+    a, b = seeds.select("question_id", F.col("id").alias("src")), seeds.select(F.col("question_id").alias("q"), F.col("id").alias("dst"))
+    at = walks.join(a, "src").join(b, "dst").filter("question_id = q AND src < dst")
+    w = Window.partitionBy("question_id", "src", "dst").orderBy("hops", "path")
+    return at.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= each).select("question_id", "src", "dst", "path")
+
+
+def facts(graph: Graph, sentences: dict[str, str]) -> DataFrame:
+    """(id, fact): a sentence for each edge of a type with a template (%s the source's title, %s the target's)."""
+    pairs = [F.lit(x) for kv in sentences.items() for x in kv]
+    of = lambda x: graph.nodes.select(F.col("id").alias(f"{x}_id"), F.col("title").alias(f"{x}_title"))
+    at = graph.of_type(*sentences).join(of("s"), F.col("src") == F.col("s_id")).join(of("d"), F.col("dst") == F.col("d_id"))
+    form = F.element_at(F.create_map(*pairs), F.col("rel_type"))
+    one = F.split(form, "%s")
+    return at.select(F.col("src").alias("id"), F.concat(one[0], "s_title", one[1], "d_title", one[2]).alias("fact"))
