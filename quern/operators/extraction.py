@@ -27,11 +27,10 @@ def from_lists(docs: DataFrame, pattern: str, kind: str, confidence: float = 0.8
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, place, start, word): space-separated words with their first character's position from 1."""
-    words = docs.select("doc_id", F.split("text", " ").alias("words"))
-    lengths = F.transform("words", lambda w: F.length(w) + 1)
-    starts = F.aggregate(lengths, F.array(F.lit(1)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    at = words.select("doc_id", F.posexplode(F.arrays_zip("words", F.slice(starts, 1, F.size("words")).alias("starts"))).alias("place", "w"))
-    return at.select("doc_id", "place", F.col("w.starts").alias("start"), F.col("w.words").alias("word")).filter("word <> ''")
+    at = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("start", (1 + F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).cast("int"))
+    return at.select("doc_id", "place", "start", "word").filter("word <> ''")
 
 
 def by_dictionary(docs: DataFrame, dictionary: DataFrame, longest: int = 3) -> DataFrame:
