@@ -93,8 +93,15 @@ def year_range(c: Column) -> Column:
     return F.when(F.size(y) == 0, F.lit(None)).when(F.size(y) == 1, F.try_element_at(y, F.lit(1))).otherwise(F.concat(F.try_element_at(y, F.lit(1)), F.lit("–"), F.try_element_at(y, F.lit(-1))))
 
 
-def node_text(id_: Column, label: Column, title: Column) -> Column:
-    return F.concat_ws(" | ", id_, F.concat(F.lit("loại: "), label), title)
+# The fields of an infobox that a node's text shows.
+TEXT_FIELDS = ["Thể loại", "Năm hoạt động", "Hãng đĩa", "Thành viên"]
+
+
+def node_text(id_: Column, label: Column, title: Column, infobox: Column | None = None) -> Column:
+    """A node in one line: id, label, the title if it is another, and the infobox fields that it has."""
+    named = F.when((title != id_) & (title != ""), title)
+    shown = [] if infobox is None else [F.when(infobox[k] != "", F.concat(F.lit(f"{k}: "), infobox[k])) for k in TEXT_FIELDS]
+    return F.concat_ws(" | ", id_, F.concat(F.lit("loại: "), label), named, *shown)
 
 
 def has_hangul(c: Column) -> Column:

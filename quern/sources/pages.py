@@ -114,3 +114,56 @@ def corpus(pages: DataFrame, least: int = 500) -> DataFrame:
     """(page_id, url, text, text_length) of pages with enough text."""
     at = pages.select("page_id", "url", text(F.col("html")).alias("text")).withColumn("text_length", F.length("text"))
     return at.filter(F.col("text_length") >= least)
+
+
+class _Description(HTMLParser):
+    """The text and links of the headers of class ``infobox-header description``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.headers: list[tuple[list[str], list[str]]] = []
+        self.inside = self.linked = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "th":
+            self.inside = {"infobox-header", "description"} <= set((dict(attrs).get("class") or "").split())
+            if self.inside:
+                self.headers.append(([], []))
+        elif tag == "a" and self.inside:
+            self.linked = True
+            self.headers[-1][1].append("")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "th":
+            self.inside = self.linked = False
+        elif tag == "a":
+            self.linked = False
+
+    def handle_data(self, data: str) -> None:
+        if self.inside:
+            self.headers[-1][0].append(data)
+            if self.linked:
+                self.headers[-1][1][-1] += data
+
+
+def description(html: str | None) -> tuple[str, str, str | None]:
+    """The first description, the names linked after its "của", and the album that a description says a song is from."""
+    p = _Description()
+    p.feed(html or "")
+    found = [("".join(parts), [x.strip() for x in links if x.strip()]) for parts, links in p.headers]
+    text, links = found[0] if found else ("", [])
+    by = [x for x in links if text.find(x) > text.find("của")] if "của" in text else []
+    album = next((", ".join(x for x in some if x.lower() not in {"album", "ep"}) for whole, some in found if re.search("từ ?(album|EP|ep)", whole)), "")
+    return re.sub(r"\s+", " ", text).strip(), ", ".join(dict.fromkeys(by)), album or None
+
+
+def descriptions(pages: DataFrame) -> DataFrame:
+    """(page_id, description, performed_by, album) of each page's infobox, parsed in Arrow batches."""
+    id_type = pages.schema["page_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [description(h) for h in frame["html"]]
+            yield pd.DataFrame({"page_id": frame["page_id"], **{c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("description", "performed_by", "album"))}})
+
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {id_type}, description string, performed_by string, album string")
