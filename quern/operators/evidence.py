@@ -71,6 +71,19 @@ def directed(rows: DataFrame, rules: dict[str, Evidence] | None = None) -> DataF
     return rows.filter((F.length("src") > 0) & (F.length("dst") > 0) & (a > 0) & (b > 0)).filter(holds)
 
 
+def pairs_in_context(docs: DataFrame, spans: DataFrame, most: int) -> DataFrame:
+    """(doc_id, src, src_type, dst, dst_type, context): both directions of every two spans (doc_id, start, name, type)
+    of the whole text whose starts, from 1, are at most ``most`` characters apart; the context runs from the first span to the end of the second."""
+    a, b = (spans.select(F.col("doc_id").alias(f"{x}_doc"), *[F.col(c).alias(f"{x}_{c}") for c in ("start", "name", "type")]) for x in "ab")
+    a = a.withColumn("cell", F.explode(F.array(F.floor(F.col("a_start") / most), F.floor(F.col("a_start") / most) + 1)))
+    b = b.withColumn("b_cell", F.floor(F.col("b_start") / most))
+    near = a.join(b, (F.col("a_doc") == F.col("b_doc")) & (F.col("cell") == F.col("b_cell")) & (F.col("b_start") - F.col("a_start")).between(1, most) & (F.col("a_name") != F.col("b_name")))
+    at = near.join(docs.select("doc_id", "text"), F.col("a_doc") == F.col("doc_id"))
+    at = at.withColumn("context", F.substring(F.col("text"), F.col("a_start"), F.col("b_start") - F.col("a_start") + F.length("b_name")))
+    forth, back = (at.select("doc_id", F.col(f"{x}_name").alias("src"), F.col(f"{x}_type").alias("src_type"), F.col(f"{y}_name").alias("dst"), F.col(f"{y}_type").alias("dst_type"), "context") for x, y in ("ab", "ba"))
+    return forth.unionByName(back)
+
+
 def by_occupation(people: DataFrame, keywords: dict[str, list[str]], base: dict[str, list[str]]) -> DataFrame:
     """(role, name): lower-cased names of people (name, occupation) whose occupation has a role's keyword, and each role's known names."""
     roles = F.array_compact(F.array(*[F.when(F.lower("occupation").rlike("|".join(map(re.escape, words))), F.lit(role)) for role, words in keywords.items()]))

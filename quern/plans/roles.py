@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import names as N
 from quern.graph import trade
 from quern.operators import evidence as V
+from quern.operators import extraction as X
 from quern.operators import paths as P
 from quern.plans.registry import Registry
 from quern.sources import pages
@@ -30,6 +31,22 @@ def _(spark, d):
     return V.directed(rows, rules).select("doc_id")
 
 
+#: Words that stand for entities, and what bears out their relations.
+TYPES = {"thing": "Artist", "that": "Artist", "for": "Group", "ou": "Group", "the": "Album"}
+SHOWN = {"MEMBER_OF": V.Evidence(("Artist",), ("Group",), 40, (r"{s}\s+\S+\s+\S+\s+{t}",), ("the",)), "RELEASED": V.Evidence(("Artist", "Group"), ("Album",), 15, (), ("de",))}
+
+
+@r.query("x4_directed_whole")
+def _(spark, d):
+    """As x4, whose SQL judges a text's first and fourth word, for all mentions of the whole text."""
+    docs = t(spark, d, "documents")
+    spans = X.tokens(docs).filter(F.col("word").isin(*TYPES)).select("doc_id", "start", F.col("word").alias("name"))
+    kinds = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+    pairs = V.pairs_in_context(docs, spans.withColumn("type", kinds[F.col("name")]), max(e.far for e in SHOWN.values()))
+    rows = pairs.withColumn("rel_type", F.when(F.col("dst_type") == "Group", "MEMBER_OF").otherwise("RELEASED"))
+    return V.directed(rows, SHOWN).select("doc_id", "src", "rel_type", "dst").distinct()
+
+
 @r.query("j8_by_occupation", "SELECT DISTINCT 'producer' AS role, lower(c_name) AS name FROM customer WHERE regexp_matches(lower(c_mktsegment), 'machine|build') UNION SELECT DISTINCT 'writer', lower(c_name) FROM customer WHERE contains(lower(c_mktsegment), 'furniture') UNION SELECT 'producer', 'teddy'")
 def _(spark, d):
     people = t(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("occupation"))
