@@ -42,6 +42,15 @@ def _(spark, d):
     return P.shortest_paths(g.edges, pairs, 5)
 
 
+@r.query("p2_directed_shortest_whole")
+def _(spark, d):
+    """As p2, whose SQL names two customers, from every customer."""
+    g = trade(spark, d)
+    ends = g.nodes.filter("label IN ('Type', 'Region')").select(F.col("id").alias("dst"))
+    pairs = g.nodes.filter("label = 'Customer'").select(F.col("id").alias("src")).join(F.broadcast(ends))
+    return P.shortest_paths(g.edges, pairs, 5)
+
+
 simple = """,
 walk AS (SELECT id AS src, id AS dst, 0 AS hops, [id] AS path FROM verts UNION ALL
   SELECT src, nbr, hops + 1, list_append(path, nbr) FROM walk JOIN adj ON walk.dst = adj.id WHERE hops < 3 AND NOT list_contains(path, nbr))

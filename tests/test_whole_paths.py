@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 from quern import plans
-from quern.graph import similarity
+from quern.graph import similarity, trade
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +37,15 @@ def test_all_shortest_paths(spark):
     got = plans.queries()["p6_all_shortest_paths_whole"](spark, SF).collect()
     assert Counter((r["src"], r["dst"], r["hops"], tuple(r["path"])) for r in got) == want
     assert max(r["hops"] for r in got) > 3
+
+
+def test_directed_from_all_customers(spark):
+    g = trade(spark, SF)
+    near = defaultdict(set)
+    for r in g.edges.collect():
+        near[r["src"]].add(r["dst"])
+    label = {r["id"]: r["label"] for r in g.nodes.collect()}
+    want = {(s, v): min(ps) for s in label if label[s] == "Customer" for v, ps in paths_from(s, near, 5).items() if label[v] in ("Type", "Region")}
+    got = plans.queries()["p2_directed_shortest_whole"](spark, SF).collect()
+    assert {(r["src"], r["dst"]): tuple(r["path"]) for r in got} == want and len(got) == len(want)
+    assert len({r["src"] for r in got}) > 2
