@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm import bpe, pretokens
-from tests_bpe_odd import ODD
+from odd_texts import ODD
 
 @pytest.fixture(scope="module")
 def library():

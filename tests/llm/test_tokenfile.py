@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quern.llm import pretokens, tokenfile
-from tests_bpe_odd import ODD
+from odd_texts import ODD
 
 
 @pytest.fixture(scope="module")
