@@ -59,6 +59,28 @@ def test_no_false_equals(spark):
     assert dict(zip(b.doc.tolist(), b.first.tolist())) == {3: 3, 1: 1, 5: 3}
 
 
+def test_rows_of_one_id(spark):
+    """Rows of one id lose their own words only, whatever texts the others have; equal rows lose alike."""
+    a, x, short = " ".join(f"a{i}" for i in range(30)), " ".join(f"x{i}" for i in range(8)), "short text"
+    rows = [(1, a), (7, f"{x} {a}"), (7, short), (7, a), (7, a), (9, a + " " + x), (9, short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, 30, 0, a), (7, 2, 0, short), (7, 30, 30, ""), (7, 30, 30, ""), (7, 38, 30, x), (9, 2, 0, short), (9, 38, 30, x)]
+    for hot in (500, 1):
+        got = sorted(tuple(r) for r in substring.without_repeats(docs, 10, hot, keep_text=True).select("doc_id", "n_words", "n_removed", "kept").collect())
+        assert got == sorted(want)
+
+
+def test_hot_windows(spark):
+    """A passage that most documents share with other words around it, beside groups of copies."""
+    rng = np.random.default_rng(8)
+    line = " ".join(f"l{i}" for i in range(25))
+    own = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+    copy = f"{own(12)} {line} {own(15)}"
+    rows = [(i, copy if i % 4 == 0 else f"{own(int(rng.integers(0, 30)))} {line} {own(int(rng.integers(0, 30)))}") for i in range(120)]
+    rows += [(200 + i, line) for i in range(20)] + [(300, " ".join([line] * 40))]
+    assert all(check(spark, rows, k, hot) > 0 for k, hot in ((12, 5), (20, 3)))
+
+
 def test_rough(spark, rough_docs):
     assert substring.without_repeats(rough_docs).count() == 12
     assert substring.trimmed(rough_docs).columns == rough_docs.columns
