@@ -54,8 +54,12 @@ def token_bytes(path: str) -> list[bytes]:
 
 def pieces(text: str) -> list[str] | None:
     """``text`` split at its spaces, or None if the space runs in it make that inexact."""
-    out = text.split(" ")
-    return None if "" in out[1:] or _INSIDE.search(text) else out
+    return None if uneven(text) else text.split(" ")
+
+
+def uneven(text: str) -> bool:
+    """Whether the space runs in ``text`` make it inexact to split it at its spaces."""
+    return "  " in text or text.endswith(" ") or _INSIDE.search(text) is not None
 
 
 def slices(texts: list, most: int = 6_000_000):

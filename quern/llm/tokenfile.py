@@ -12,18 +12,21 @@ lost leaves a file no manifest names; its second run writes another.
 
 Defined results: null text is empty, so it has the end id alone; rows are in ascending doc_id order,
 null first, repeated ids in the order of their ids; a text longer than a sequence runs over as many as
-it needs; an empty table gives no files and no rows; other columns are not read.
+it needs; an empty table gives no files and no rows; doc_id must be an int or a bigint (a KeyError says so);
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,8 @@ from quern.llm import pretokens
 from quern.llm.shared import fresh
 
 LENGTH, ROWS = 2048, 256
-#: Documents in one file, about.
-FILE_DOCS = 20_000
+#: Bytes of text in one file, about; the most files, beyond which they grow; rows between two places where a file may end, about.
+FILE_BYTES, MOST_FILES, STRIDE = 64 << 20, 20_000, 512
 MEMO = 800_000
 #: Marks that are a token of their own after letters.
 MARKS = ".,;:!?"
@@ -41,6 +44,7 @@ MARKS = ".,;:!?"
 
 @functools.lru_cache(maxsize=2)
 def _library(vocabulary: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks have a core each
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary)
@@ -50,56 +54,112 @@ def _library(vocabulary: str):
 
 
 class Encoder:
-    """The tokenizers library over texts, called once for each distinct piece while a bounded memo holds it."""
+    """The tokenizers library over texts, called once for each distinct piece while a bounded memo holds it.
+
+    A learnt piece is a row: its ids are a run of ``pool``. Texts are cut and their pieces numbered in Arrow, so
+    that Python meets the distinct pieces only, and a text's ids are gathered from the pool.
+    """
 
     def __init__(self, vocabulary: str):
         self.library = _library(vocabulary)
         self.added = [a["content"] for a in pretokens.description(vocabulary)["added_tokens"]]
         self.lengths = np.array([len(b) for b in pretokens.token_bytes(vocabulary)], np.int64)
         self.kind = np.dtype("<u2" if len(self.lengths) <= 1 << 16 else "<u4")
-        self.rest: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in MARKS}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.pool, self.starts, self.counts = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._extend([self.library.encode(m, add_special_tokens=False).ids for m in MARKS])
+        self.marks = {m: i for i, m in enumerate(MARKS)}
+
+    def _extend(self, ids: list[list[int]]) -> np.ndarray:
+        """New rows of these ids; their numbers."""
+        return self._put(np.array([x for row in ids for x in row], self.kind), np.array([len(row) for row in ids], np.int64))
+
+    def _put(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+        self.counts, self.pool = np.concatenate([self.counts, counts]), np.concatenate([self.pool, flat])
+        return np.arange(first, len(self.starts))
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``rows`` one after the other, and where each row's end."""
+        counts = self.counts[rows]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts[rows] - (ends - counts), counts)
+        at += np.arange(len(at))
+        return self.pool[at], ends
 
     def _learn(self, new: list[str]) -> None:
         """Pieces joined by single spaces are a text that the library cuts at those spaces; the ids' byte lengths tell where."""
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            ids = np.array(self.library.encode("".join(" " + p for p in part), add_special_tokens=False).ids, np.int64)
+        parts, counts = [], []
+        for a in range(0, len(new), 500):
+            part = new[a : a + 500]
+            (e,) = self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, np.int64)
             ends = np.cumsum([1 + len(p.encode()) for p in part])
-            cut = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw = ids.astype(self.kind).tobytes()
-            size, b = self.kind.itemsize, 0
-            for p, e in zip(part, (cut * size).tolist(), strict=True):
-                self.rest[p] = raw[b:e]
-                b = e
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > MEMO:
-            self.rest = {}
-        # white space at a piece's ends would meet its neighbour's when pieces are joined
-        cut = [None if any(a in t for a in self.added) else pretokens.pieces(t) for t in texts]
-        seen: set[str] = set()
-        for p in cut:
-            if p is not None:
-                seen.update(p[1:])
-        unseen = seen.difference(self.rest)
-        # letters and one mark are two matches of the pattern, so a word is learnt without its mark
-        marked = {p for p in unseen if p[-1] in MARKS and p[:-1].isalpha()}
-        new = (unseen - marked) | {p[:-1] for p in marked}.difference(self.rest)
-        plain = [p for p in new if p.strip() == p and not pretokens_odd(p)]
-        self._learn(plain)
-        edged = list(new.difference(plain))
-        for p, e in zip(edged, self.library.encode_batch_fast([" " + p for p in edged], add_special_tokens=False), strict=True):
-            self.rest[p] = np.array(e.ids, self.kind).tobytes()
-        for p in marked:
-            self.rest[p] = self.rest[p[:-1]] + self.marks[p[-1]]
-        whole = [t for t, p in zip(texts, cut, strict=True) if p is None]
-        firsts = [p[0] for p in cut if p is not None]
-        heads = iter(self.library.encode_batch_fast(firsts, add_special_tokens=False))
-        wholes = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
-        ids = lambda e: np.array(e.ids, self.kind).tobytes()
-        get = self.rest.__getitem__
-        return [ids(next(wholes)) if p is None else ids(next(heads)) + b"".join(map(get, p[1:])) for p in cut]
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1, prepend=0))
+            parts.append(ids.astype(self.kind))
+        if new:
+            self.rows.update(zip(new, self._put(np.concatenate(parts), np.concatenate(counts)).tolist(), strict=True))
+
+    def _rows_of(self, pieces: list[str]) -> np.ndarray:
+        """The rows of distinct pieces that a space stands before, those unseen learnt first."""
+        get = self.rows.get
+        out = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.flatnonzero(out < 0).tolist()
+        if not at:
+            return out
+        unseen, marked, plain, edged = [pieces[i] for i in at], [], [], []
+        for p in unseen:
+            # letters and one mark are two matches of the pattern, so a word is learnt without its mark
+            if p[-1:] in self.marks and p[:-1].isalpha():
+                marked.append(p)
+            # white space at a piece's ends would meet its neighbour's when pieces are joined
+            elif p.isalpha() or p.strip() == p and not pretokens_odd(p):
+                plain.append(p)
+            else:
+                edged.append(p)
+        bare = [p[:-1] for p in marked]
+        self._learn(list(dict.fromkeys([*plain, *(p for p in bare if p not in self.rows)])))
+        self.rows.update(zip(edged, self._extend([e.ids for e in self.library.encode_batch_fast([" " + p for p in edged], add_special_tokens=False)]).tolist(), strict=True))
+        if marked:
+            both = np.array([[self.rows[p] for p in bare], [self.marks[p[-1]] for p in marked]], np.int64).T
+            self.rows.update(zip(marked, self._put(self._gather(both.ravel())[0], self.counts[both].sum(1)).tolist(), strict=True))
+        out[at] = np.fromiter(map(self.rows.__getitem__, unseen), np.int64, len(unseen))
+        return out
+
+    def encode(self, texts: list[str], end: list[int] | None = None) -> pa.BinaryArray:
+        """Each text's ids as little-endian integers of ``kind``, those of ``end`` after them."""
+        if len(self.rows) > MEMO:
+            self._forget()
+        easy = np.array([not pretokens.uneven(t) and not any(a in t for a in self.added) for t in texts], bool)
+        cut = pc.split_pattern(pa.array([t for t, x in zip(texts, easy.tolist(), strict=True) if x], pa.large_string()), " ")
+        offsets = cut.offsets.to_numpy()
+        numbered = cut.flatten().dictionary_encode()
+        rows = self._rows_of(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()] if len(numbered) else np.zeros(0, np.int64)
+        firsts = numbered.take(pa.array(offsets[:-1])).cast(pa.large_string()).to_pylist() if len(offsets) > 1 else []
+        kept = len(self.pool), len(self.starts)
+        ids_of = lambda some: self._extend([e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
+        rows[offsets[:-1]] = ids_of(firsts)
+        whole = ids_of([t for t, x in zip(texts, easy.tolist(), strict=True) if not x])
+        (last,) = self._extend([end or []])
+        # the texts' rows in order: of an easy one its pieces', of another its own, and the end's
+        sizes = np.ones(len(texts), np.int64)
+        sizes[easy] = np.diff(offsets)
+        ends = np.cumsum(sizes + 1)
+        order = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        order[ends - 1] = last
+        is_end = np.zeros(len(order), bool)
+        is_end[ends - 1] = True
+        from_cut = np.repeat(easy, sizes + 1)
+        order[from_cut & ~is_end] = rows
+        order[~from_cut & ~is_end] = whole
+        ids, to = self._gather(order)
+        self.pool, self.starts, self.counts = self.pool[: kept[0]], self.starts[: kept[1]], self.counts[: kept[1]]
+        places = np.concatenate([[0], to[ends - 1]]) * self.kind.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)])
 
 
 def pretokens_odd(piece: str) -> bool:
@@ -197,30 +257,54 @@ class Reader:
         return np.concatenate(parts)
 
 
-def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end: int = 0, file_docs: int = FILE_DOCS) -> tuple[str, list[dict]]:
+def _cuts(docs: DataFrame, file_bytes: int) -> np.ndarray:
+    """Ids at which files end, with about ``file_bytes`` bytes of text between two.
+
+    Ids near quantiles of the rows are where a file may end; the texts' bytes between them are summed, so the driver
+    sees a bounded number of sums.
+    """
+    n = docs.filter("doc_id IS NOT NULL").count()
+    places = min(16 * MOST_FILES, n // STRIDE)
+    if not places:
+        return np.zeros(0, np.int64)
+    some = docs.agg(F.percentile_approx("doc_id", [k / places for k in range(1, places)], 4 * places)).first()[0] if places > 1 else []
+    some = np.array(sorted(set(some or [])), np.int64)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(some) + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(some, batch.column(0).to_numpy(), "left"), batch.column(1).to_numpy(), len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "bytes"])
+
+    sized = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    total = np.zeros(len(some) + 1, np.int64)
+    for r in sized.mapInArrow(sums, "place long, bytes long").groupBy("place").agg(F.sum("bytes").alias("bytes")).collect():
+        total[r["place"]] = r["bytes"]
+    step = max(file_bytes, -(-int(total.sum()) // MOST_FILES))
+    file = (np.cumsum(total) - 1) // step
+    return some[np.flatnonzero(file[1:] != file[:-1])]
+
+
+def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, end: int = 0, file_bytes: int = FILE_BYTES) -> tuple[str, list[dict]]:
     """Encode every text, end it with ``end``, and write the files. Returns the folder and the manifest."""
     spark = docs.sparkSession
     vocabulary = vocabulary or pretokens.default_vocabulary()
     folder = folder or fresh(spark, "tokens")
-    n = docs.select("doc_id").count()
-    if not n:
+    if docs.select("doc_id").isEmpty():
         return folder, []
-    files = max(1, -(-n // file_docs))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 20 * files)).first()[0] if files > 1 else []
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
+    cuts = _cuts(docs.select("doc_id", "text"), file_bytes)
     id_type = {"int": pa.int32(), "bigint": pa.int64()}[docs.schema["doc_id"].dataType.simpleString()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        last = np.array([end], coder.kind).tobytes()
         for batch in batches:
             own, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             # a document with the cut's own id goes below it; null, the first in order, to file 0
             part = np.searchsorted(cuts, own.fill_null(np.iinfo(np.int32).min).to_numpy(zero_copy_only=False), "left")
             part[own.is_null().to_numpy(zero_copy_only=False)] = 0
             for a, b in pretokens.slices(texts):
-                rows = [x + last for x in coder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array(part[a:b], pa.int32()), own.slice(a, b - a), pa.array(rows, pa.binary())], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a:b], pa.int32()), own.slice(a, b - a), coder.encode(texts[a:b], [end]).cast(pa.binary())], ["part", "doc_id", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, tuple[str, Writer]] = {}

@@ -18,7 +18,7 @@ def test_encoder_as_the_library(library, texts):
     rows = [*ODD, *texts]
     coder = tokenfile.Encoder(pretokens.default_vocabulary())
     for _ in range(2):  # with an empty memo and a filled one
-        got = [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(rows)]
+        got = [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(rows).to_pylist()]
         assert got == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
 
 
@@ -31,10 +31,17 @@ def brute(library, docs):
     return want
 
 
-@pytest.mark.parametrize("file_docs", [3, 1000])
-def test_files(spark, library, rough_docs, file_docs):
-    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.write_and_read(rough_docs, file_docs=file_docs).collect()}
+@pytest.mark.parametrize("file_bytes", [1000, 1 << 26])
+def test_files(spark, library, rough_docs, file_bytes, monkeypatch):
+    monkeypatch.setattr(tokenfile, "STRIDE", 2)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.write_and_read(rough_docs, file_bytes=file_bytes).collect()}
     assert got == brute(library, rough_docs)
+    assert (len(tokenfile.write(rough_docs, file_bytes=file_bytes)[1]) > 2) == (file_bytes == 1000)
+
+
+def test_other_ids(spark):
+    with pytest.raises(KeyError):
+        tokenfile.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_views(spark, rough_docs):
@@ -67,3 +74,4 @@ def test_nulls_and_empty(spark, rough_docs):
     twice = spark.createDataFrame([(None, "a b"), (7, "c"), (7, "c"), (None, None)], "doc_id long, text string")
     got = sorted((r["start"], r["doc_id"]) for r in tokenfile.write_and_read(twice).collect())
     assert [g[1] for g in got] == [None, None, 7, 7]
+    assert [g[0] for g in got] == [0, 1, 4, 6]
