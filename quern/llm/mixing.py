@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within each source the documents are ranged by that key
+Every document gets a hash-random key; rows equal in id, source and text are one group with its number of copies. Within each source the documents are ranged by that key
 (a power-of-two number of key ranges, so each range holds about the same number of rows whatever
 the source's size), the word counts of the ranges are summed, prefix sums over the ranges give each
 range its offset, and a running sum inside one range places every document on its source's line of
@@ -8,8 +8,8 @@ words. The source's budget cuts that line exactly; a budget beyond the source's
 epochs first. A source that holds a third of all rows is spread over as many ranges as its rows fill.
 
 Defined results: null text counts 0 words and takes none; null source is a source of its own, last
-in order; documents of equal id (repeated rows) keep one row each, in any order among themselves; an
-empty table gives no rows; other columns are not read.
+in order; rows of equal id keep one row each, in the order of their sizes and texts; rows equal in id, source and text share their
+words out among themselves, so reruns give the same rows; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,63 +38,89 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
     out, left, open_ = [0.0] * len(sizes), share * sum(sizes), list(range(len(sizes)))
     while open_:
         total = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
+        above = {i for i in open_ if left * weights[i] / total > most * sizes[i]}
         if not above:
             for i in open_:
                 out[i] = left * weights[i] / total
             break
-        for i in above:
+        for i in sorted(above):
             out[i] = float(most * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(above)]
+        open_ = [i for i in open_ if i not in above]
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def _placed(docs: DataFrame, tie: Column, weights: Sequence[float], share: float, most: float, range_rows: int) -> DataFrame:
+    """One row for each group of rows equal in doc_id, source, text and ``tie``, with its source's plan.
 
-    ``weights`` go to the sources in code point order, null last, repeating. The per-source totals
-    (one row for each source) are the only thing the driver sees.
+    Columns: doc_id, source, size, key, tie, copies, source_size, target, epochs (whole ones, of every row), rest (the words
+    of the source's line that are taken beside them), at (where the first copy begins on the line).
     """
     spark = docs.sparkSession
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("mark"), tie.alias("tie"))
+    sized = stored(sized.groupBy(*sized.columns).agg(F.count("*").alias("copies")), "mix-sizes")
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     budget = targets([r["source_size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
     rows = sum(r["n"] for r in totals)
     bits = min(MOST_BITS, (rows // range_rows).bit_length())
     plan = spark.createDataFrame(
         [(r["source"], r["source_size"], t) for r, t in zip(totals, budget)],
-        "source string, source_size long, target double",
+        "p_source string, source_size long, target double",
     )
-    ranged = sized.withColumn("range", F.shiftright("key", 60 - bits))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("source", "range").agg(F.sum("size").alias("words")).select(
-        F.col("source").alias("o_source"), F.col("range").alias("o_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
+    words = F.col("size") * F.col("copies")
+    ranged = sized.withColumn("range", F.shiftright("key", 60 - bits)).withColumn("sub", F.lit(0).cast("long"))
+    # rows of one id (or none) with many texts fill one range: such ranges are parted by the texts' hashes
+    full = ranged.groupBy(F.col("source").alias("f_source"), F.col("range").alias("f_range")).agg(F.count("*").alias("full")).filter(F.col("full") > 16 * range_rows)
+    parted = full.count()
+    if parted:
+        ranged = ranged.join(F.broadcast(full) if parted <= 100_000 else full, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("range") == F.col("f_range")), "left")
+        ranged = ranged.withColumn("sub", F.coalesce(F.pmod("mark", F.ceil(F.col("full") / range_rows)), "sub")).drop("f_source", "f_range", "full")
+    before = Window.partitionBy("source").orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("source", "range", "sub").agg(F.sum(words).alias("words")).select(
+        F.col("source").alias("o_source"), F.col("range").alias("o_range"), F.col("sub").alias("o_sub"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
     )
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("here", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(F.broadcast(offsets) if len(totals) << bits <= 100_000 else offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
-    placed = placed.withColumnRenamed("source", "d_source").join(F.broadcast(plan) if len(totals) <= 100_000 else plan, F.col("d_source").eqNullSafe(F.col("source")))
-    words, whole = F.floor(F.col("target") + 0.5), F.col("source_size")
-    epochs = F.when(whole > 0, F.floor(words / whole)).otherwise(0)
-    rest = words - epochs * whole
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("here")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
-
-
-def mixture(docs: DataFrame, **how) -> DataFrame:
+    within = Window.partitionBy("source", "range", "sub").orderBy("key", "doc_id", "size", "mark", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("here", F.coalesce(F.sum(words).over(within), F.lit(0)))
+    placed = placed.join(F.broadcast(offsets) if not parted and len(totals) << bits <= 100_000 else offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")) & (F.col("sub") == F.col("o_sub")))
+    placed = placed.join(F.broadcast(plan) if len(totals) <= 100_000 else plan, F.col("source").eqNullSafe(F.col("p_source")))
+    budgeted, whole = F.floor(F.col("target") + 0.5), F.col("source_size")
+    epochs = F.when(whole > 0, F.floor(budgeted / whole)).otherwise(0).cast("long")
+    return placed.select("doc_id", "source", "size", "key", "tie", "copies", "source_size", "target", epochs.alias("epochs"), (budgeted - epochs * whole).cast("long").alias("rest"), (F.col("offset") + F.col("here")).alias("at"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+
+    ``weights`` go to the sources in code point order, null last, repeating. The per-source totals
+    (one row for each source) are the only thing the driver sees.
+    """
+    placed = _placed(docs, F.lit(0), weights, share, most, range_rows)
+    run = 10_000  # copies of one group come in runs, so that no array holds them all
+    each = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / run))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("run") * run, F.least(F.col("copies"), (F.col("run") + 1) * run) - 1)))
+    cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("at") - F.col("copy") * F.col("size")))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows of the mix itself, with the columns of ``docs``.
 
-    A document that is taken k whole times comes k times; the one at its source's cut also comes
-    with its first words only, up to the budget. Documents without a word take no part; of rows
-    with equal id, each comes as often as the one that takes most.
+    A row that is taken k whole times comes k times; the one at its source's cut also comes
+    with its first words only, up to the budget. Rows without a word take no part; rows equal in every column
+    count as many words as they are, and come as often as their words are taken.
     """
-    taken = mix(docs.select("doc_id", "source", "text"), **how).filter("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max_by("size", "taken").alias("_mix_size"), F.max("taken").alias("_mix_taken"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    full = (F.col("_mix_taken") / F.col("_mix_size")).cast("int")
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = _placed(docs.select("doc_id", "source", "text", tie.alias("_mix_tie")), F.col("_mix_tie"), weights, share, most, range_rows)
+    here = F.greatest(F.lit(0).cast("long"), F.least(F.col("copies") * F.col("size"), F.col("rest") - F.col("at")))
+    placed = placed.select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_row"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"), (F.col("copies") * F.col("epochs") * F.col("size") + here).alias("_mix_taken"))
+    placed = stored(placed.filter("_mix_taken > 0"), "mix-taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (tie == F.col("_mix_row"))
+    rows = docs.join(placed, same)
+    if placed.filter("_mix_copies > 1").limit(1).count():  # one row stands for those that are equal
+        rows = docs.join(placed.filter("_mix_copies = 1"), same).unionByName(docs.dropDuplicates().join(placed.filter("_mix_copies > 1"), same))
+    full = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
     rest = F.col("_mix_taken") % F.col("_mix_size")
     lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), 0), 1, F.col("_mix_keep").cast("int")), " ")

@@ -37,7 +37,8 @@ from quern.llm.shared import fresh
 LENGTH, ROWS = 2048, 256
 #: Bytes of text in one file, about; the most files, beyond which they grow; rows between two places where a file may end, about.
 FILE_BYTES, MOST_FILES, STRIDE = 64 << 20, 20_000, 512
-MEMO = 800_000
+#: Pieces remembered, and characters encoded at a time, about.
+MEMO, SLICE = 800_000, 16_000_000
 #: Marks that are a token of their own after letters.
 MARKS = ".,;:!?"
 
@@ -94,8 +95,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Pieces joined by single spaces are a text that the library cuts at those spaces; the ids' byte lengths tell where."""
         parts, counts = [], []
-        for a in range(0, len(new), 500):
-            part = new[a : a + 500]
+        for a in range(0, len(new), 100):
+            part = new[a : a + 100]
             (e,) = self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
             ids = np.array(e.ids, np.int64)
             ends = np.cumsum([1 + len(p.encode()) for p in part])
@@ -303,7 +304,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
             # a document with the cut's own id goes below it; null, the first in order, to file 0
             part = np.searchsorted(cuts, own.fill_null(np.iinfo(np.int32).min).to_numpy(zero_copy_only=False), "left")
             part[own.is_null().to_numpy(zero_copy_only=False)] = 0
-            for a, b in pretokens.slices(texts):
+            for a, b in pretokens.slices(texts, SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array(part[a:b], pa.int32()), own.slice(a, b - a), coder.encode(texts[a:b], [end]).cast(pa.binary())], ["part", "doc_id", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

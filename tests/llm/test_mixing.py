@@ -41,6 +41,32 @@ def test_as_a_plain_loop(spark, texts, range_rows):
         assert got[d][3] <= 2 * got[d][0]
 
 
+@pytest.mark.parametrize("range_rows", [2000, 2])
+def test_reruns_agree_on_repeated_ids(spark, range_rows):
+    """Rows of one id, or without one, take the same however they are dealt; equal rows share their words."""
+    rows = [(7, "s", " ".join(f"w{i}" for i in range(n))) for n in (3, 7, 11, 40, 50, 90)] + [(7, "s", "x y z")] * 9 + [(None, "t", f"a {i}") for i in range(80)] + [(None, "t", "b c d")] * 5 + [(1, "u", "q " * 400)]
+    seen = set()
+    for k in (1, 2, 5):
+        for some in (rows, rows[::-1]):
+            df = spark.createDataFrame(some, "doc_id long, source string, text string").repartition(k)
+            got = mixing.mix(df, range_rows=range_rows).collect()
+            assert len(got) == len(rows)
+            seen.add(tuple(sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got)))
+            for s in "stu":
+                assert sum(r["taken"] for r in got if r["target"] == next(x["target"] for x in got if x["size"] == {"s": 90, "t": 2, "u": 400}[s])) == int(next(x["target"] for x in got if x["size"] == {"s": 90, "t": 2, "u": 400}[s]) + 0.5)
+    assert len(seen) == 1
+
+
+def test_mixture_meets_the_budget(spark):
+    """Repeated and null ids come as often as their words are taken, and no oftener."""
+    rows = [(7, "s", " ".join(f"w{i}" for i in range(n)), "en") for n in (3, 7, 11, 40)] + [(7, "s", "x y z", "de")] * 4 + [(None, "t", "b c d", "en")] * 5 + [(None, None, "e f", "en"), (2, None, None, "en"), (3, "u", "q " * 60, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").repartition(3)
+    target = {r["source"]: int(r["target"] + 0.5) for r in mixing._placed(df, mixing.F.lit(0), (3, 1, 2), 1.5, 2.0, 2000).collect()}
+    got = mixing.mixture(df).collect()
+    for s, words in target.items():
+        assert sum(len(r["text"].split()) for r in got if r["source"] == s) == words
+
+
 def test_targets_stop_at_twice_the_size():
     t = mixing.targets([10, 1000, 1000], [3, 1, 2], 1.5, 2.0)
     assert t[0] == 20 and abs(sum(t) - 3015) < 1e-9 and abs(t[2] - 2 * t[1]) < 1e-9 or t[2] == 2000
