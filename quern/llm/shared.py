@@ -1,14 +1,16 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-(tests, a single machine) a temporary folder is made and set. Whatever is written here survives
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the
+master is local (tests, a single machine) a temporary folder is made and set. Whatever is written here survives
 the loss of an executor, and cuts the lineage of what is read back.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder's URI, without a trailing slash."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -39,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of that many rows at most in what is stored inside, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove what was written at ``path``, once nothing reads it any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
