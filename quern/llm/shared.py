@@ -12,6 +12,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,7 +58,18 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove what was written at ``path``, once nothing reads it any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def save_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """One-dimensional arrays as one Arrow file."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    batch = pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), pa.array(x)) for x in arrays.values()], list(arrays))
+    with fs.open_output_stream(path) as f, pa.ipc.new_file(f, batch.schema) as w:
+        w.write_batch(batch)
+
+
+def load_arrays(uri: str) -> dict[str, np.ndarray]:
+    """What save_arrays wrote: views of a mapped file where that is local."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+    batch = pa.ipc.open_file(source).get_batch(0)
+    return {name: batch.column(k).values.to_numpy() for k, name in enumerate(batch.schema.names)}

@@ -1,112 +1,161 @@
 """Exact top-k inner products with Fagin's threshold algorithm.
 
-A shard holds some of the vectors with, for each dimension, the list of its rows sorted by that dimension.
-A query walks all lists together from the end its sign favours, a block of places at a time; rows not seen
-before get their whole score by random access. What the lists show at the walked depth bounds the
-score of every unseen row: once the k-th best score is above the bound, the rest cannot enter. Queries meet
-every shard in blocks, and a query's results of all shards are merged to its k best.
+A shard holds some of the vectors with, for each dimension, the list of its rows sorted by that dimension; it is built once and
+kept as an Arrow file in the shared folder. A query walks all lists together from the end its sign favours, a block of
+places at a time; rows not seen before get their whole score by random access. What the lists show at the walked depth
+bounds the score of every unseen row: once the k-th best score is above the bound, the rest cannot enter. A block of queries
+goes past one shard's file after the other, and each query takes its k best with it, so that later walks end sooner; neither
+vectors nor queries are sent more than once.
 
 Components are floor(scale * x) as integers, so scores are exact. Ties go to the smaller vec_id, which is why
 the k-th score must exceed the bound, not equal it.
 
-Defined results: vectors that are null or hold null, NaN or infinite components, and rows without an id, take no
-part; a query meets the vectors of its own length only; rows with the query's id are not its candidates;
-rows repeated with one id are candidates each, and equal query rows are asked once; with fewer than k
-candidates all are returned; an empty table gives no rows; other columns are not read.
+Defined results: vectors that are null or hold null, NaN or infinite components, or components that are infinite once scaled,
+and rows without an id, take no part; a query meets the vectors of its own length only; rows with the query's id are not its
+candidates; rows repeated with one id are candidates each, and equal query rows are asked once; with fewer than k
+candidates all are returned; a score that no 64-bit integer holds among a query's k best is an OverflowError; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors in a shard and queries in a block, about.
-SHARD, BLOCK = 8192, 2048
+from quern.llm.shared import fresh, load_arrays, save_arrays
+
+#: Vectors in a shard and queries in a block, about, and the blocks that a small query set is cut into for the sake of many tasks.
+SHARD, BLOCK, BLOCKS = 8192, 32_768, 32
+
+Best = tuple[np.ndarray, np.ndarray]
 
 
 def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+def _exact(whole: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python's integers."""
+    return np.array([[int(x) for x in row] for row in whole.tolist()], object).reshape(whole.shape)
+
+
 class Lists:
     """A shard's vectors and its sorted lists; rows are in ascending order of vec_id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
-
-    def top(self, query: np.ndarray, own: int, k: int, walked: list[int] | None = None) -> list[tuple[int, int]]:
-        """(vec_id, score) of the ``k`` best rows whose id is not ``own``."""
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None, ranked: np.ndarray | None = None):
+        if order is None:
+            by = np.argsort(ids, kind="stable")
+            ids, vectors = ids[by], vectors[by]
+            order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        self.ids, self.vectors, self.order = ids, vectors, order
+        self.sorted = np.take_along_axis(vectors, order, axis=0) if ranked is None else ranked
+        self.largest = float(np.abs(vectors).max()) if vectors.size else 0.0
+
+    def save(self, uri: str) -> None:
+        save_arrays(uri, {"ids": self.ids, "vectors": self.vectors.ravel(), "order": self.order.ravel(), "sorted": self.sorted.ravel()})
+
+    @staticmethod
+    @functools.lru_cache(maxsize=2)
+    def mapped(uri: str) -> Lists:
+        x = load_arrays(uri)
+        n = len(x["ids"])
+        return Lists(x["ids"], *(x[k].reshape(n, -1) for k in ("vectors", "order", "sorted")))
+
+    @functools.cached_property
+    def exactly(self) -> Lists:
+        """The same with Python's integers, for products that doubles do not hold."""
+        return Lists(self.ids, _exact(self.vectors), self.order)
+
+    def top(self, query: np.ndarray, own: int, k: int, walked: list[int] | None = None, best: Best | None = None) -> Best:
+        """(vec_id, score) arrays of the ``k`` best of ``best`` and the rows whose id is not ``own``."""
         n, dims = self.vectors.shape[0], np.flatnonzero(query)
         up = dims[query[dims] < 0]  # small values first
         down = dims[query[dims] > 0]
         seen = np.zeros(n, bool)
-        best_at, best = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
+        best_id, best_score = best or (np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype))
         depth, step = 0, max(8, 4 * k)
         while depth < n:
             to = min(n, depth + step) if len(dims) else n
             if len(dims):
-                fresh = np.zeros(n, bool)
-                fresh[self.order[depth:to, up]] = True
-                fresh[self.order[n - to : n - depth, down]] = True
-                new = np.flatnonzero(fresh & ~seen)
+                fresh_ = np.zeros(n, bool)
+                fresh_[self.order[depth:to, up]] = True
+                fresh_[self.order[n - to : n - depth, down]] = True
+                new = np.flatnonzero(fresh_ & ~seen)
             else:
                 new = np.arange(n)
             seen[new] = True
             new = new[self.ids[new] != own]
-            at, score = np.concatenate([best_at, new]), np.concatenate([best, self.vectors[new] @ query])
-            if len(at) > k:
+            ids, score = np.concatenate([best_id, self.ids[new]]), np.concatenate([best_score, self.vectors[new] @ query])
+            if len(ids) > k:
                 cut = np.partition(score, len(score) - k)[len(score) - k]
-                at, score = at[score >= cut], score[score >= cut]
-            order = np.lexsort((at, -score))[:k]
-            best_at, best = at[order], score[order]
+                ids, score = ids[score >= cut], score[score >= cut]
+            order = np.lexsort((ids, -score))[:k]
+            best_id, best_score = ids[order], score[order]
             depth, step = to, 2 * step
-            if depth < n and len(best) == k and best[-1] > self.sorted[depth - 1, up] @ query[up] + self.sorted[n - depth, down] @ query[down]:
+            if depth < n and len(best_score) == k and best_score[-1] > self.sorted[depth - 1, up] @ query[up] + self.sorted[n - depth, down] @ query[down]:
                 break
         if walked is not None:
             walked.append(depth)
-        return [(int(self.ids[i]), int(s)) for i, s in zip(best_at, best)]
+        return best_id, best_score
 
 
-def _matrix(column: pa.ChunkedArray, scale: float) -> np.ndarray:
-    """Integers as doubles where every inner product stays below 2**53, else as Python's own."""
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64) if column.num_chunks else np.zeros(0)
-    whole = np.floor(scale * flat).reshape(len(column), -1)
-    if whole.size and np.abs(whole).max() ** 2 * whole.shape[1] >= 2.0**53:
-        return np.array([[int(x) for x in row] for row in whole], object)
-    return whole
+def _matrix(t: pa.Table, scale: float) -> np.ndarray:
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("embedding").chunks]).astype(np.float64)
+    return np.floor(scale * flat).reshape(t.num_rows, -1)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best candidates of every row for which ``is_query`` holds."""
+    spark = vectors.sparkSession
     good = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"), is_query.alias("asks"))
+    good = good.filter(~F.exists("embedding", lambda x: F.abs(x * scale) == float("inf")))
     n, asked = good.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    spread = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
-    rows = good.select(spread("vec_id", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", "vec_id", "embedding")
-    asks = good.filter("asks").select("vec_id", "embedding", "dims").dropDuplicates(["vec_id", "embedding"])
-    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("q_shard"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int").alias("q_block"), F.col("dims").alias("q_dims"), F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("q_hash"), F.col("embedding").alias("query"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            lists = Lists(left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), scale))
-            queries = _matrix(right.column("query"), scale)
-            if lists.vectors.dtype != queries.dtype or lists.vectors.dtype != object and lists.vectors.size and np.abs(lists.vectors).max() * np.abs(queries).max() * max(1, queries.shape[1]) >= 2.0**53:
-                as_int = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-                lists, queries = Lists(lists.ids, as_int(lists.vectors)), as_int(queries)
-            for q, own, h in zip(queries, right.column("query_id").to_pylist(), right.column("q_hash").to_pylist(), strict=True):
-                out += [(own, h, v, max(-(1 << 63), min(s, (1 << 63) - 1))) for v, s in lists.top(q, own, k)]
-        cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "q_hash", "vec_id", "score"])
-
-    found = rows.groupBy("shard", "block", "dims").cogroup(asks.groupBy("q_shard", "q_block", "q_dims")).applyInArrow(search, "query_id long, q_hash long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "q_hash").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    folder = fresh(spark, "lists")
+
+    def build(t: pa.Table) -> pa.Table:
+        import uuid
+
+        uri = f"{folder}/{uuid.uuid4().hex}.arrow"
+        Lists(t.column("vec_id").to_numpy(), _matrix(t, scale)).save(uri)
+        return pa.table([pa.array([t.column("dims")[0].as_py()], pa.int32()), pa.array([uri])], ["dims", "uri"])
+
+    dealt = good.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(max(1, -(-n // shard)))).alias("shard"), "dims", F.col("vec_id").cast("long"), "embedding")
+    files = sorted(tuple(r) for r in dealt.groupBy("shard", "dims").applyInArrow(build, "dims int, uri string").collect())  # one row for each shard
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        size = rows.column("dims").to_numpy()
+        for dims in np.unique(size).tolist():
+            some = rows.filter(pa.array(size == dims))
+            queries, own = _matrix(some, scale), some.column("vec_id").to_pylist()
+            reach = np.abs(queries).max(1, initial=0.0) * max(1, dims)
+            found: list[Best | None] = [None] * len(own)
+            for d, uri in files:
+                if d == dims:
+                    lists = Lists.mapped(uri)
+                    for i, id_ in enumerate(own):
+                        # doubles hold every product and sum below 2 ** 53; beyond, scores are Python's integers
+                        if reach[i] * lists.largest < 2.0**53 and (found[i] is None or found[i][1].dtype != object):
+                            found[i] = lists.top(queries[i], id_, k, best=found[i])
+                        else:
+                            best = found[i] and (found[i][0], np.array([int(s) for s in found[i][1]], object))
+                            found[i] = lists.exactly.top(_exact(queries[i : i + 1])[0], id_, k, best=best)
+            for id_, best in zip(own, found, strict=True):
+                if best is not None and len(best[0]):
+                    m = len(best[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([id_] * m, pa.int64()), pa.array(range(1, m + 1), pa.int32()), pa.array(best[0], pa.int64()), pa.array([int(s) for s in best[1]], pa.int64())], ["query_id", "rank", "vec_id", "score"])
+
+    asks = good.filter("asks").select(F.col("vec_id").cast("long"), "embedding", "dims").dropDuplicates(["vec_id", "embedding"])
+    blocks = max(-(-asked // block), min(BLOCKS, -(-asked // 16)), 1)
+    return asks.repartition(blocks, F.xxhash64("vec_id")).mapInArrow(search, "query_id long, rank int, vec_id long, score long")
 
 
 SQL = """
