@@ -305,7 +305,7 @@ def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
     return raw
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(vocabulary: str, lexicon: str | None) -> Encoder:
     return Encoder(vocabulary, Lexicon.mapped(lexicon) if lexicon else None)
 

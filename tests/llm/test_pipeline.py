@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from quern.llm import mixing, pretokens, toxicity
-from test_simhash import groups, plain
+from test_nearcopies import groups
 from test_substring import brute
 
 SF = "/root/testdata/sf0.001"
@@ -29,8 +29,8 @@ def test_stages(spark):
         rows[name], given = out.collect(), out
     predicted = {r["doc_id"] for r in toxicity.toxicity(docs, labels).collect() if r["predicted"]}
     assert {r["doc_id"] for r in rows["toxicity"]} == {r["doc_id"] for r in docs.collect()} - predicted
-    prints = {r["doc_id"]: plain(r["text"]) for r in rows["toxicity"]}
-    assert {r["doc_id"] for r in rows["simhash"]} == {d for d, c in groups(prints).items() if d == c}
+    near = groups({r["doc_id"]: r["text"] for r in rows["toxicity"]})
+    assert {r["doc_id"] for r in rows["simhash"]} == {d for d, c in near.items() if d == c}
     want = brute([(r["doc_id"], r["text"]) for r in rows["simhash"]], 50)
     before = {r["doc_id"]: r["text"] for r in rows["simhash"]}
     assert {r["doc_id"]: r["text"] for r in rows["substring"]} == {d: before[d] if not n else t for d, (_, n, t) in want.items() if not n or t}
@@ -55,3 +55,12 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_odd_rows(spark, rough_docs, tmp_path):
+    """Null, empty and very long texts, repeated rows and null ids go through every stage, whatever else the columns are called."""
+    docs = rough_docs.unionByName(rough_docs).unionByName(rough_docs.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", *[f"`{c}`" for c in rough_docs.columns[1:]]))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r["n_tokens"] > 0 for r in rows)
