@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.iterate import settled
+
 #: Prefixes that derived nodes' ids carry.
 PREFIXES = ("Genre", "Company", "Album", "Song", "Artist", "Group", "Occupation", "Instrument", "Customer", "Supplier", "Nation", "Region", "Order", "Part", "Brand", "Type")
 #: Spellings of relation types by different producers, and the one kept.
@@ -147,7 +149,7 @@ def similarity(spark: SparkSession, sf_dir: str, least: float = 0.3) -> Graph:
     right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("mine"), F.col("block").alias("other"), "vec_id", "embedding").filter("other >= mine")
     found = pairs.groupBy("mine", "other").cogroup(right.groupBy("mine", "other")).applyInPandas(near, "src long, dst long").distinct()
     nodes = v.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("vec_id").cast("string").alias("title"))
-    return Graph(nodes, found.withColumn("rel_type", F.lit("NEAR")))
+    return Graph(nodes, settled(found).withColumn("rel_type", F.lit("NEAR")))
 
 
 SIMILARITY_SQL = """

@@ -36,13 +36,21 @@ def two_hop_questions(paths: DataFrame, quotas: dict[str, int]) -> DataFrame:
     return top.withColumn("n", n).withColumn("kind", kind).select("kind", "n", "start", "rel1", "rel2", "end")
 
 
-def distractors(questions: DataFrame, truth: DataFrame, pool: DataFrame, n: int = 3) -> DataFrame:
+def distractors(questions: DataFrame, truth: DataFrame, pool: DataFrame, n: int = 3, first: int = 64) -> DataFrame:
     """(start, wrong, place): ``n`` nodes of the pool (id) that are no true answer (start, end) of the question, in drawn order.
 
-    The pool is cut to the ``64`` best drawn ids first, so a question meets a bounded number of them.
+    A question meets the ``first`` best drawn ids; one with so many true answers that those might not do meets as many more as
+    the largest number of true answers, so that ``n`` are left wherever the pool has them.
     """
-    some = pool.orderBy(draw(F.col("id"))).limit(64).select(F.col("id").alias("wrong"))
-    at = questions.select("start").distinct().join(F.broadcast(some)).join(truth.select("start", F.col("end").alias("wrong")).distinct(), ["start", "wrong"], "left_anti")
+    drawn = pool.orderBy(draw(F.col("id")))
+    known = truth.select("start", F.col("end").alias("wrong")).distinct()
+    sized = questions.select("start").distinct().join(known.groupBy(F.col("start").alias("s")).agg(F.count("*").alias("many")), F.col("start") == F.col("s"), "left")
+    at = sized.filter(F.coalesce("many", F.lit(0)) <= first - n).select("start").join(F.broadcast(drawn.limit(first).select(F.col("id").alias("wrong"))))
+    large = sized.filter(F.col("many") > first - n).select("start")
+    most = sized.agg(F.max("many")).first()[0] or 0
+    if most > first - n:
+        at = at.unionByName(large.join(drawn.limit(most + n).select(F.col("id").alias("wrong"))))
+    at = at.join(known, ["start", "wrong"], "left_anti")
     w = Window.partitionBy("start").orderBy(draw(F.col("start"), F.col("wrong")))
     return at.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 

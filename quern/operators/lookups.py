@@ -32,7 +32,9 @@ def neighbours(graph: Graph, ids: DataFrame, direction: str = "both") -> DataFra
 def relationships(graph: Graph, ids: DataFrame) -> DataFrame:
     """Edges at the given ids with both ends' labels."""
     ends = graph.nodes.select("id", "label")
-    at = graph.edges.join(ids.select(F.col("id").alias("i")).distinct(), (F.col("src") == F.col("i")) | (F.col("dst") == F.col("i")), "left_semi")
+    own = ids.select(F.col("id").alias("i")).distinct()
+    out = graph.edges.join(own, F.col("src") == F.col("i"), "left_semi")
+    at = out.unionByName(graph.edges.join(own, F.col("dst") == F.col("i"), "left_semi").join(own, F.col("src") == F.col("i"), "left_anti"))
     at = at.join(ends.withColumnsRenamed({"id": "s", "label": "src_label"}), F.col("src") == F.col("s"))
     return at.join(ends.withColumnsRenamed({"id": "d", "label": "dst_label"}), F.col("dst") == F.col("d")).select("src", "src_label", "rel_type", "dst", "dst_label")
 

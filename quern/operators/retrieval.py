@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,35 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float = -1.0) -> DataFrame:
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(np.float64).reshape(len(column), -1)
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def semantic(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float = -1.0, block: int = 8192) -> DataFrame:
     """(query_id, place, id, score): nearest vectors of each query by cosine, in double precision, without itself.
 
-    ``queries`` is a stated set; it meets all rows, and each task keeps its k best of each query before they are merged.
+    ``queries`` is a stated set; in blocks of ``block`` rows it meets blocks of the vectors as matrix products, and each pair of
+    blocks keeps the k best of each of its queries before they are merged.
     """
-    scored = vectors.select(F.col("vec_id").alias("id"), "embedding").join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), F.col("id") != F.col("query_id"))
-    scored = scored.select("query_id", "id", cosine(F.col("q"), F.col("embedding")).alias("score")).filter(F.col("score") > least)
+    sides = [queries.select(F.col("vec_id").alias("id"), "embedding"), vectors.select(F.col("vec_id").alias("id"), "embedding")]
+    many = [max(1, -(-side.count() // block)) for side in sides]
+    dealt = [side.filter("id IS NOT NULL AND embedding IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n))) for side, n in zip(sides, many, strict=True)]
+    asks = dealt[0].withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))))
+    rows = dealt[1].withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(many[0] - 1))))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            (qid, q), (vid, v) = ((t.column("id").to_numpy(), _unit(t.column("embedding"))) for t in (a, b))
+            s = q @ v.T
+            s[qid[:, None] == vid[None, :]] = -np.inf
+            cut = np.partition(s, -min(k, len(vid)), axis=1)[:, -min(k, len(vid))]
+            i, j = np.nonzero((s >= cut[:, None]) & (s > least) & np.isfinite(s))  # all that tie with the k-th
+            out = [qid[i], vid[j], s[i, j]]
+        return pa.table([pa.array(x) for x in out], ["query_id", "id", "score"])
+
+    scored = asks.groupBy("own", "other").cogroup(rows.groupBy("asking", F.col("own").alias("other_"))).applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "place", "id", "score")
 
@@ -50,7 +74,9 @@ def linked(questions: DataFrame, dictionary: DataFrame, longest: int = 4, most:
 def expanded(graph: Graph, seeds: DataFrame, per_seed: int = 10, in_all: int = 30) -> DataFrame:
     """(question_id, place, src, rel_type, dst, score): relations at each question's seeds (question_id, id): +1 for each end among them,
     best ``per_seed`` at each seed and ``in_all`` for each question."""
-    at = seeds.join(graph.edges, (F.col("id") == F.col("src")) | (F.col("id") == F.col("dst")))
+    edges = graph.edges.select("src", "rel_type", "dst")
+    ends = edges.withColumn("end", F.col("src")).unionByName(edges.filter("src <> dst").withColumn("end", F.col("dst")))
+    at = seeds.join(ends, F.col("id") == F.col("end"))
     mine = seeds.select(F.col("question_id").alias("q"), F.col("id").alias("other"))
     far = F.when(F.col("id") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
     at = at.withColumn("far", far).join(mine, (F.col("question_id") == F.col("q")) & (F.col("far") == F.col("other")), "left")

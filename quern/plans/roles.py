@@ -21,24 +21,13 @@ def t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@r.query("x4_directed", r"""WITH p AS (SELECT doc_id, lang, lower(split(text, ' ')[1]) AS s, lower(split(text, ' ')[4]) AS t, lower(substr(text, 1, 300)) AS c FROM documents),
-q AS (SELECT *, instr(c, s) AS a, instr(c, t) AS b FROM p WHERE s <> '' AND t <> '')
-SELECT doc_id FROM q WHERE a > 0 AND b > 0 AND CASE WHEN lang = 'en' THEN abs(a - b) <= 40 AND (regexp_matches(c, '\Q' || s || '\E\s+\S+\s+\S+\s+\Q' || t || '\E') OR contains(substr(c, least(a, b), abs(a - b)), 'the')) ELSE abs(a - b) <= 15 AND contains(substr(c, least(a, b), abs(a - b)), 'de') END""")
-def _(spark, d):
-    word = lambda n: F.get(F.split("text", " "), n)
-    rows = t(spark, d, "documents").select("doc_id", word(0).alias("src"), F.lit("Artist").alias("src_type"), word(3).alias("dst"), F.when(F.col("lang") == "en", "Group").otherwise("Album").alias("dst_type"), F.when(F.col("lang") == "en", "MEMBER_OF").otherwise("RELEASED").alias("rel_type"), F.substring("text", 1, 300).alias("context"))
-    rules = {"MEMBER_OF": V.Evidence(("Artist",), ("Group",), 40, (r"{s}\s+\S+\s+\S+\s+{t}",), ("the",)), "RELEASED": V.Evidence(("Artist", "Group"), ("Album",), 15, (), ("de",))}
-    return V.directed(rows, rules).select("doc_id")
-
-
 #: Words that stand for entities, and what bears out their relations.
 TYPES = {"thing": "Artist", "that": "Artist", "for": "Group", "ou": "Group", "the": "Album"}
 SHOWN = {"MEMBER_OF": V.Evidence(("Artist",), ("Group",), 40, (r"{s}\s+\S+\s+\S+\s+{t}",), ("the",)), "RELEASED": V.Evidence(("Artist", "Group"), ("Album",), 15, (), ("de",))}
 
 
-@r.query("x4_directed_whole")
+@r.query("x4_directed")
 def _(spark, d):
-    """As x4, whose SQL judges a text's first and fourth word, for all mentions of the whole text."""
     docs = t(spark, d, "documents")
     spans = X.tokens(docs).filter(F.col("word").isin(*TYPES)).select("doc_id", "start", F.col("word").alias("name"))
     kinds = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])

@@ -39,4 +39,4 @@ def test_label_propagation_query(spark):
     g = similarity(spark, SF)
     nodes = [r["id"] for r in g.nodes.collect()]
     want = settled_labels(nodes, adjacent((r["src"], r["dst"]) for r in g.edges.collect()))
-    assert {r["id"]: r["community"] for r in plans.queries()["c3_label_propagation_whole"](spark, SF).collect()} == want
+    assert {r["id"]: r["community"] for r in plans.queries()["c3_label_propagation"](spark, SF).collect()} == want

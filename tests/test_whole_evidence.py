@@ -41,5 +41,5 @@ def test_query(spark):
                         late += p > 300
                     if kind[s] in ("Artist", "Group") and kind[t] == "Album" and "de" in between:
                         want.add((doc["doc_id"], s, "RELEASED", t))
-    got = plans.queries()["x4_directed_whole"](spark, SF).collect()
+    got = plans.queries()["x4_directed"](spark, SF).collect()
     assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == want and late

@@ -34,7 +34,7 @@ def test_all_shortest_paths(spark):
     g = similarity(spark, SF)
     near = adjacent((r["src"], r["dst"]) for r in g.edges.collect())
     want = Counter((s, v, len(p) - 1, p) for s in list(near) for v, ps in paths_from(s, near, 10).items() for p in ps)
-    got = plans.queries()["p6_all_shortest_paths_whole"](spark, SF).collect()
+    got = plans.queries()["p6_all_shortest_paths"](spark, SF).collect()
     assert Counter((r["src"], r["dst"], r["hops"], tuple(r["path"])) for r in got) == want
     assert max(r["hops"] for r in got) > 3
 
@@ -46,6 +46,6 @@ def test_directed_from_all_customers(spark):
         near[r["src"]].add(r["dst"])
     label = {r["id"]: r["label"] for r in g.nodes.collect()}
     want = {(s, v): min(ps) for s in label if label[s] == "Customer" for v, ps in paths_from(s, near, 5).items() if label[v] in ("Type", "Region")}
-    got = plans.queries()["p2_directed_shortest_whole"](spark, SF).collect()
+    got = plans.queries()["p2_directed_shortest"](spark, SF).collect()
     assert {(r["src"], r["dst"]): tuple(r["path"]) for r in got} == want and len(got) == len(want)
     assert len({r["src"] for r in got}) > 2
