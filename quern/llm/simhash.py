@@ -227,7 +227,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, long: int =
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's smallest; a null doc_id keeps its row."""
+    """The rows of ``docs`` whose document is its component's smallest; a null doc_id keeps its row.
+
+    The rows of one id are one document: equal rows stay or go together, and all go if any of their texts is a near copy of a
+    smaller id's. nearcopies.deduplicated tells rows of one id apart and is what the pipeline uses.
+    """
     groups = near_duplicates(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dup_id")).distinct()
     return docs.join(groups, F.col("doc_id") == F.col("_dup_id"), "left_anti")
 
