@@ -95,8 +95,24 @@ def typed_links(links: DataFrame, nodes: DataFrame, rules: list[tuple[str, str,
     return at.join(F.broadcast(table), (F.col("s_label") == F.col("a")) & (F.col("d_label") == F.col("b"))).select("src", "dst", "rel_type")
 
 
-def word_members(artists: DataFrame, groups: DataFrame, field: str, longest: int = 3) -> DataFrame:
-    """(src, dst): artists (id, title) whose title stands in a group's member field as whole words: runs of words meet the titles by an equi-join."""
+def evidenced_links(links: DataFrame, nodes: DataFrame, rules: list[tuple[str, str, str, str, str]]) -> DataFrame:
+    """(src, dst, rel_type): links typed by their labels where an infobox bears them out.
+
+    A rule is (src_label, dst_label, side, field, rel_type): the other end's title stands in that field of the ``side``'s (src or
+    dst) infobox. ``nodes`` have id, label, title and infobox, a map.
+    """
+    table = links.sparkSession.createDataFrame(rules, "a string, b string, side string, field string, rel_type string")
+    of = lambda x: nodes.select(F.col("id").alias(f"{x}_id"), F.col("label").alias(f"{x}_label"), title_key(F.col("title")).alias(f"{x}_key"), F.col("infobox").alias(f"{x}_box"))
+    at = links.select("src", "dst").join(of("s"), F.col("src") == F.col("s_id")).join(of("d"), F.col("dst") == F.col("d_id"))
+    at = at.join(F.broadcast(table), (F.col("s_label") == F.col("a")) & (F.col("d_label") == F.col("b")))  # a rule table of fixed size
+    shown = F.when(F.col("side") == "src", F.contains(F.lower(F.col("s_box")[F.col("field")]), F.col("d_key"))).otherwise(F.contains(F.lower(F.col("d_box")[F.col("field")]), F.col("s_key")))
+    return at.filter(shown).select("src", "dst", "rel_type").distinct()
+
+
+def word_members(artists: DataFrame, groups: DataFrame, field: str) -> DataFrame:
+    """(src, dst): artists (id, title) whose title stands in a group's member field as whole words: runs of words, as long as the
+    longest title, meet the titles by an equi-join."""
+    longest = artists.agg(F.max(F.size(F.filter(F.split(title_key(F.col("title")), r"[^\p{L}\p{N}]+"), lambda x: x != "")))).first()[0] or 1
     w = F.filter(F.split(F.lower(F.col(field)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
     spots = groups.select(F.col("id").alias("dst"), w.alias("w")).select("dst", F.explode(F.array_distinct(runs)).alias("run"))

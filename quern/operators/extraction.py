@@ -33,12 +33,13 @@ def tokens(docs: DataFrame) -> DataFrame:
     return at.select("doc_id", "place", "start", "word").filter("word <> ''")
 
 
-def by_dictionary(docs: DataFrame, dictionary: DataFrame, longest: int = 3) -> DataFrame:
+def by_dictionary(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, start, end, name, type): dictionary names that stand in the text as whole words, longer ones first, none overlapping.
 
-    Runs of up to ``longest`` words are looked up by an equi-join, whatever the dictionary's size; what overlaps
-    within a document is settled by one pass over its few mentions.
+    Runs of as many words as the dictionary's longest name are looked up by an equi-join, whatever the dictionary's size; what
+    overlaps within a document is settled by one pass over its few mentions.
     """
+    longest = dictionary.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
     words = docs.select("doc_id", F.filter(F.split(F.regexp_replace("text", "[.,;:!?]", " "), " "), lambda w: w != "").alias("w"))
     spots = words.select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct((i - 1).alias("start"), (i + n - 1).alias("end"), F.array_join(F.slice("w", i, n), " ").alias("name")))))).alias("s")).select("doc_id", "s.*")
     hits = spots.join(dictionary.select(F.col("name"), "type"), "name")

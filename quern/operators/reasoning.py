@@ -92,3 +92,30 @@ def quantified(graph: Graph, rel_type: str, holds: DataFrame) -> DataFrame:
     """(group, all_hold, any_hold): whether a condition, given as (id, holds), holds for all or any of each group's members."""
     at = graph.of_type(rel_type).join(holds, F.col("src") == F.col("id"))
     return at.groupBy(F.col("dst").alias("group")).agg(F.bool_and("holds").alias("all_hold"), F.bool_or("holds").alias("any_hold"))
+
+
+def shared(asked: DataFrame, has: DataFrame) -> DataFrame:
+    """(a, b, same, common): for the asked pairs (a, b), whether and in which values (id, value) the two ends agree.
+
+    Pairs meet the values by equi-joins from either end, so a value that many ids have makes no pairs of its own.
+    """
+    has = has.select("id", "value").distinct()
+    left = asked.select("a", "b").distinct().join(has.select(F.col("id").alias("x"), "value"), F.col("a") == F.col("x")).select("a", "b", "value")
+    both = left.join(has.select(F.col("id").alias("y"), F.col("value").alias("v")), (F.col("b") == F.col("y")) & (F.col("value") == F.col("v")))
+    found = both.groupBy(F.col("a").alias("f_a"), F.col("b").alias("f_b")).agg(F.sort_array(F.collect_set("value")).alias("common"))
+    at = asked.select("a", "b").distinct().join(found, (F.col("a") == F.col("f_a")) & (F.col("b") == F.col("f_b")), "left")
+    return at.select("a", "b", F.col("common").isNotNull().alias("same"), F.coalesce("common", F.array().cast(has.schema["value"].dataType.simpleString().join(("array<", ">")))).alias("common"))
+
+
+def values_via(graph: Graph, has: DataFrame, group_type: str) -> DataFrame:
+    """(id, value): the values (id, value) of each node's own and of the groups it belongs to."""
+    step = graph.of_type(group_type).select(F.col("src").alias("member"), F.col("dst").alias("group"))
+    via = step.join(has.select(F.col("id").alias("g"), "value"), F.col("group") == F.col("g")).select(F.col("member").alias("id"), "value")
+    return has.select("id", "value").unionByName(via).distinct()
+
+
+def collaborators(graph: Graph, work_type: str, explicit: tuple[str, ...] = ()) -> DataFrame:
+    """(id, mate): others with a work in common, or tied by an explicit relation, either way."""
+    tied = graph.of_type(*explicit).select(F.col("src").alias("id"), F.col("dst").alias("mate")) if explicit else None
+    out = mates(graph, work_type)
+    return out if tied is None else out.unionByName(tied).unionByName(tied.select(F.col("mate").alias("id"), F.col("id").alias("mate"))).filter("id <> mate").distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quern.plans import groups, lookups, more, network, roles, texts
+from quern.plans import derived, groups, lookups, more, network, roles, texts
 from quern.plans.registry import Query
 
 FLAGSHIP = "q10_customer_regions"
-_ALL = [groups.v, more.r, more.g, groups.t, roles.r, lookups.r, texts.r, texts.g, network.r, network.v, network.w]
+_ALL = [derived.r, derived.g, groups.v, more.r, more.g, groups.t, roles.r, lookups.r, texts.r, texts.g, network.r, network.v, network.w]
 
 
 def queries() -> dict[str, Query]:

@@ -376,13 +376,6 @@ def _(spark, d):
     return R.semantic(v.filter("vec_id % 20 = 0"), v).withColumn("score", F.round("score", 6))
 
 
-@g.query("r3_expanded")
-def _(spark, d):
-    whole = trade(spark, d)
-    seeds = spark.createDataFrame([(1, "Nation_3"), (1, "Region_1"), (2, "Part_5"), (2, "Supplier_1")], "question_id int, id string")
-    return R.expanded(whole, seeds)
-
-
 @g.query("r5_reranked")
 def _(spark, d):
     whole = trade(spark, d)

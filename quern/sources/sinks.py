@@ -1,10 +1,14 @@
-"""Keyed upserts, reconciliation with a sink, and repair of ids."""
+"""Keyed upserts, reconciliation with a sink, repair of ids, whole graphs and kept vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.graph import Graph
+
 
 def upsert(have: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``have`` with ``new`` merged in by ``key``: a new row's values that are not null replace the old ones. The latest of several
@@ -32,3 +36,29 @@ def repaired(nodes: DataFrame, edges: DataFrame, prefix: str = "Kpop ") -> tuple
     """Nodes and edges with a wrong prefix taken off the ids, once each."""
     fix = lambda c: F.regexp_replace(c, f"^(?:{prefix})+", "")
     return nodes.withColumn("id", fix(F.col("id"))).dropDuplicates(["id"]), edges.withColumn("src", fix(F.col("src"))).withColumn("dst", fix(F.col("dst"))).dropDuplicates(["src", "dst", "rel_type"])
+
+
+def write_graph(graph: Graph, folder: str) -> None:
+    """Nodes and edges as two Parquet tables of a folder."""
+    graph.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    graph.edges.write.mode("overwrite").parquet(f"{folder}/edges")
+
+
+def read_graph(spark: SparkSession, folder: str) -> Graph:
+    """The whole graph that ``write_graph`` put there."""
+    return Graph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
+
+
+def cached_vectors(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """(id, text, vector) of ``rows`` (id, text): vectors kept in ``folder`` are taken where the text is still the same, the others are made
+    by ``embed`` and kept too."""
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        embed(rows.select("id", "text")).select("id", "text", "vector").write.parquet(folder)
+        return spark.read.parquet(folder)
+    have = spark.read.parquet(folder)
+    new = rows.select("id", "text").join(have.select("id", "text"), ["id", "text"], "left_anti")
+    if not new.isEmpty():
+        embed(new).select("id", "text", "vector").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).join(rows.select("id", "text"), ["id", "text"], "left_semi")
