@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import pretokens
-from quern.llm.shared import fresh
+from quern.llm.shared import batches_of, fresh
 
 LENGTH, ROWS = 2048, 256
 #: Bytes of text in one file, about; the most files, beyond which they grow; rows between two places where a file may end, about.
 FILE_BYTES, MOST_FILES, STRIDE = 64 << 20, 20_000, 512
+#: Rows in an Arrow batch, at most.
+BATCH = 3000
 #: Pieces remembered, and characters encoded at a time, about.
-MEMO, SLICE = 800_000, 16_000_000
+MEMO, SLICE = 600_000, 16_000_000
 #: Marks that are a token of their own after letters.
 MARKS = ".,;:!?"
 
@@ -334,7 +336,9 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
     coded = docs.select("doc_id", "text").mapInArrow(encode, f"part int, doc_id {kind}, ids binary")
     made = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids").mapInArrow(save, "part int, uri string, docs long, tokens long")
     manifest, base = [], 0
-    for r in sorted(made.collect(), key=lambda r: r["part"]):
+    with batches_of(spark, BATCH):
+        files = made.collect()  # a row for each file
+    for r in sorted(files, key=lambda r: r["part"]):
         manifest.append(r.asDict() | {"base": base})
         base += r["tokens"]
     return folder, manifest
