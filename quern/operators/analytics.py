@@ -133,14 +133,14 @@ def by_label(values: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return at.groupBy("label").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), best.alias("top"))
 
 
-def betweenness(nodes: DataFrame, pairs: DataFrame, sources: int | None = None, most_nodes: int = 200_000) -> DataFrame:
+def betweenness(nodes: DataFrame, pairs: DataFrame, sources: int | None = None, most_nodes: int = 200_000, most_links: int = 2_000_000) -> DataFrame:
     """(id, betweenness), normalised: Brandes' dependencies from all or ``sources`` hash-chosen nodes.
 
-    Sources are spread over the cluster; each task holds the adjacency, which is broadcast only below ``most_nodes`` nodes.
+    Sources are spread over the cluster; each task holds the adjacency, which is broadcast only up to ``most_nodes`` nodes and ``most_links`` links.
     """
-    n = nodes.count()
-    if n > most_nodes:
-        raise ValueError(f"{n} nodes: take a component or a sample of at most {most_nodes}")
+    n, m = nodes.count(), pairs.count()
+    if n > most_nodes or m > most_links:
+        raise ValueError(f"{n} nodes, {m} links: take a component or a sample of at most {most_nodes} and {most_links}")
     near: dict = {}
     for r in adjacency(pairs).toLocalIterator():
         near.setdefault(r["id"], []).append(r["nbr"])
