@@ -29,7 +29,8 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float =
     """
     sides = [queries.select(F.col("vec_id").alias("id"), "embedding"), vectors.select(F.col("vec_id").alias("id"), "embedding")]
     many = [max(1, -(-side.count() // block)) for side in sides]
-    dealt = [side.filter("id IS NOT NULL AND embedding IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n))) for side, n in zip(sides, many, strict=True)]
+    # block numbers are ints on both sides: an int and a long of equal value hash to different partitions
+    dealt = [side.filter("id IS NOT NULL AND embedding IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")) for side, n in zip(sides, many, strict=True)]
     asks = dealt[0].withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))))
     rows = dealt[1].withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(many[0] - 1))))
 

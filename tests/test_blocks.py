@@ -3,6 +3,7 @@
 import pytest
 
 from quern.graph import similarity
+from quern.operators import retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +22,10 @@ def test_similarity(apart):
     want = {(r["src"], r["dst"]) for r in similarity(apart, SF).edges.collect()}
     got = [(r["src"], r["dst"]) for r in similarity(apart, SF, block=60).edges.collect()]
     assert len(want) > 500 and set(got) == want and len(got) == len(want)
+
+
+def test_semantic(apart):
+    v = apart.read.parquet(f"{SF}/embeddings.parquet")
+    plain = lambda rows: sorted((r["query_id"], r["place"], r["id"], round(r["score"], 9)) for r in rows.collect())
+    want = plain(retrieval.semantic(v.filter("vec_id % 20 = 0"), v))
+    assert len(want) == 125 and plain(retrieval.semantic(v.filter("vec_id % 20 = 0"), v, block=10)) == want
