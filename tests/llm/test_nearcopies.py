@@ -78,3 +78,20 @@ def test_stage(spark):
     want = groups({r["doc_id"]: r["text"] for r in docs.collect()})
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF).collect()}
     assert kept == {k for k, c in want.items() if k == c} and not kept & {145, 177}
+
+
+def test_fingerprints_come_first(spark, tmp_path):
+    """Fingerprints find links that the texts bear out, and the shuffle files and texts of a run do not outlast it."""
+    from pyspark.sql import functions as F
+
+    from quern.llm import shared
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 600").dropDuplicates(["text"])
+    texts = shared.stored(docs.select(F.col("doc_id").alias("sig"), "text"), "test-texts")
+    by = {r["sig"]: {*nearcopies.shingles(r["text"].encode() if r["text"] else None).tolist()} for r in texts.collect()}
+    links = nearcopies.fingerprint_links(texts).collect()
+    assert links and all(5 * len(by[r["a"]] & by[r["b"]]) >= 4 * len(by[r["a"]] | by[r["b"]]) for r in links)
+    shared.dropped(texts)
+    with pytest.raises(Exception, match="not exist|FILE_NOT_EXIST|FileNotFound"):
+        texts.collect()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
