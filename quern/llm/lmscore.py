@@ -2,8 +2,8 @@
 
 A word's lattice holds every way to cut it into pieces of an existing vocabulary; a forward pass in log
 space sums the weights of all of them. Pieces start from the vocabulary's own scores (its merge order, read as
-ranks of a Zipf law) and are weighted anew by expected counts, first on a bounded sample of words, then once
-over all words of the training documents, with the first weights as a prior. A character outside the vocabulary is spelt
+ranks of a Zipf law) and are weighted anew by expected counts over all words of the training documents, in
+some rounds together and then once by class, with the first weights as a prior. A character outside the vocabulary is spelt
 by its byte pieces. Words begin with the mark that begins pieces too, so the weights of all words sum to one.
 
 Beside the cuts into pieces a word's lattice has one arc for the whole word if training has it, by absolute
@@ -42,8 +42,8 @@ from quern.llm.sampling import held_out
 from quern.llm.shared import stored
 
 MARK, END, ZIPF, PRIOR, LOG10 = "▁", 0.01, 2.7, 2000.0, math.log(10)
-#: Bytes of text in one unit, about, and words that the first weights are fitted on, about.
-UNIT, SAMPLE = 24_000_000, 20_000
+#: Bytes of text in one unit, about, and rounds of the shared weights before those of the classes.
+UNIT, ROUNDS = 24_000_000, 3
 #: Languages with a class of their own, at most.
 CLASSES = 4
 #: How many words a document's urn starts from, beside endless ones: powers of eight, so that nothing is chosen by results.
@@ -301,36 +301,39 @@ def units(docs: DataFrame, unit: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def fit(words: DataFrame, kinds: int, vocabulary: str, sample: int, distinct: float) -> Lattice:
-    """Each class's piece weights, from the distinct training words in ``words``: a class's words count once in it. The last row is of all words."""
+def fit(words: DataFrame, kinds: int, vocabulary: str) -> Lattice:
+    """Each class's piece weights, from all distinct training words in ``words``: a class's words count once in it. The last row is of all words."""
     first = Lattice(*vocabulary_weights(vocabulary))
+    names, size = first.pieces, len(first.pieces) + 256
     train = words.filter("c > 0").select("word", *[f"c{k}" for k in range(kinds)])
-    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(min(1.0, sample / max(distinct, 1)) * (1 << 30))
-    some = sorted(bytes(r["word"]).decode("utf-8", "replace") for r in train.filter(chosen).select("word").collect())
-    shared = first
-    for _ in range(3):
-        shared = reweighted(first, expect(shared, some, np.ones((len(some), 1))))
-    names, weights = shared.pieces, shared.weights
-    size = len(names) + 256
 
-    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Lattice(names, weights[:, :-256], weights[:, -256:]), np.zeros((size, kinds + 1))
-        for batch in batches:
-            has = np.stack([np.ones(batch.num_rows), *(batch.column(1 + k).to_numpy() > 0 for k in range(kinds))], axis=1)
-            texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            total += expect(own, texts, has)
-        piece, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], ["piece", "k", "n"])
+    def expected(weights: np.ndarray, classes: int) -> np.ndarray:
+        """Expected uses of the pieces over all training words (first column) and those of each class."""
 
-    total = np.zeros((size, kinds + 1))
-    uses = train.mapInArrow(expected, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece and class at most
-    total[uses["piece"].to_numpy(), uses["k"].to_numpy()] = uses["n"].to_numpy()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, total = Lattice(names, weights[:, :-256], weights[:, -256:]), np.zeros((size, classes + 1))
+            for batch in batches:
+                has = np.stack([np.ones(batch.num_rows), *(batch.column(1 + k).to_numpy() > 0 for k in range(classes))], axis=1)
+                texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+                total += expect(own, texts, has)
+            piece, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], ["piece", "k", "n"])
+
+        total = np.zeros((size, classes + 1))
+        uses = train.mapInArrow(run, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece and class at most
+        total[uses["piece"].to_numpy(), uses["k"].to_numpy()] = uses["n"].to_numpy()
+        return total
+
+    shared = first
+    for _ in range(ROUNDS):
+        shared = reweighted(first, expected(shared.weights, 0))
+    total = expected(shared.weights, kinds)
     whole = reweighted(first, total[:, :1])
     weights = np.concatenate([reweighted(whole, total[:, 1:]).weights, whole.weights])
     return Lattice(names, weights[:, :-256], weights[:, -256:])
 
 
-def scores(docs: DataFrame, vocabulary: str | None = None, unit: int = UNIT, sample: int = SAMPLE, classes: int = CLASSES) -> DataFrame:
+def scores(docs: DataFrame, vocabulary: str | None = None, unit: int = UNIT, classes: int = CLASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) for every row.
 
     ``lattice_score`` is the probability by cuts into pieces alone, without whole words, urns and classes. Scores
@@ -354,7 +357,7 @@ def scores(docs: DataFrame, vocabulary: str | None = None, unit: int = UNIT, sam
     total, distinct = n + ends, v + (ends > 0)
     off = np.clip(np.divide(n1, n1 + 2 * n2, out=np.full(len(n1), 0.5), where=n1 + n2 > 0), 0.1, 0.95)
     free = np.divide(off * distinct, total, out=np.ones(len(n)), where=total > 0)
-    fitted = fit(words, kinds, vocabulary, sample, v[0])
+    fitted = fit(words, kinds, vocabulary)
     names, weights = fitted.pieces, fitted.weights
     prior = np.log(np.maximum(ends[1:] / ends[0], 1e-300)) if ends[0] else np.full(kinds, -math.log(kinds))
 

@@ -138,3 +138,20 @@ def test_held_out_beats_base(spark):
     """Where training is large enough; on a small corpus the base's add-one share of unseen words flatters it."""
     rows = lmscore.scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_every_round_is_fitted_on_all_words(spark):
+    """More words than any bounded sample took: the weights are those of the same rounds over all of them."""
+    import itertools
+
+    import numpy as np
+
+    made = sorted("".join(w) for w in itertools.product("abcdefghijklm", repeat=4))
+    assert len(made) > 20_000
+    rows = spark.createDataFrame([(bytearray(w.encode()), 1, 1) for w in made], "word binary, c long, c0 long")
+    path = lmscore.default_vocabulary()
+    first = shared = lmscore.Lattice(*lmscore.vocabulary_weights(path))
+    for _ in range(4):
+        shared = lmscore.reweighted(first, lmscore.expect(shared, made, np.ones((len(made), 1))))
+    got = lmscore.fit(rows, 1, path)
+    assert np.allclose(got.weights[-1], shared.weights[0], rtol=0, atol=1e-9)
