@@ -39,3 +39,43 @@ def test_merged_keeps_weights():
     starts, to = np.array([0, 2, 4, 6, 6]), np.array([1, 2, 0, 2, 0, 1], np.int32)
     s, t, w = C.merged(starts, to, None, np.array([0, 0, 1, 2]), 3, most=2)
     assert s.tolist() == [0, 2, 3, 3] and t.tolist() == [0, 1, 0] and w.tolist() == [2, 2, 2]
+
+
+def distances(ids, pairs):
+    near = {v: set() for v in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for s in ids:
+        depth, todo = {s: 0}, [s]
+        for v in todo:
+            for u in sorted(near[v]):
+                if u not in depth:
+                    depth[u] = depth[v] + 1
+                    todo.append(u)
+        out |= {(s, v): k for v, k in depth.items()}
+    return out
+
+
+def test_hops_write_no_levels(spark, monkeypatch):
+    """Distances and their counts by bits in tasks, some sources and few links at a time, whatever a table of levels would hold."""
+    import quern.packed as K
+
+    ids, pairs, nodes, links = made(spark, 150, 170)
+    monkeypatch.setattr(K, "STARTS", 70)
+    want = distances(ids, pairs)
+    got = K.hops(packed(nodes, links)).collect()
+    assert {(r["source"], r["id"]): r["hops"] for r in got} == want and len(got) == len(want)
+    near_ = K.hops(packed(nodes, links), 2).collect()
+    assert {(r["source"], r["id"]): r["hops"] for r in near_} == {p: k for p, k in want.items() if k <= 2}
+    counts = {r["hops"]: r["n"] for r in K.lengths(packed(nodes, links), nodes).collect()}
+    assert counts == {k: sum(x == k for x in want.values()) for k in set(want.values()) - {0}}
+
+
+def test_levels_gather_a_few_links_at_a_time(monkeypatch):
+    import quern.packed as K
+
+    starts, to = np.array([0, 1, 3, 5, 6, 6]), np.array([1, 0, 2, 1, 3, 2], np.int32)
+    monkeypatch.setattr(K, "GATHERED", 1)
+    assert [x[:, 0].tolist() for x in K.levels(starts, to, np.array([0, 3]))] == [[0, 1, 2, 0, 0], [0, 2, 1, 0, 0], [2, 0, 0, 1, 0]]
