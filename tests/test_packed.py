@@ -79,3 +79,27 @@ def test_levels_gather_a_few_links_at_a_time(monkeypatch):
     starts, to = np.array([0, 1, 3, 5, 6, 6]), np.array([1, 0, 2, 1, 3, 2], np.int32)
     monkeypatch.setattr(K, "GATHERED", 1)
     assert [x[:, 0].tolist() for x in K.levels(starts, to, np.array([0, 3]))] == [[0, 1, 2, 0, 0], [0, 2, 1, 0, 0], [2, 0, 0, 1, 0]]
+
+
+def test_shares_are_brandes_dependencies():
+    from quern.operators.analytics import dependencies, shares
+
+    rng = random.Random(5)
+    near = {v: set() for v in range(60)}
+    for _ in range(90):
+        a, b = rng.sample(range(60), 2)
+        near[a].add(b)
+        near[b].add(a)
+    starts = np.cumsum([0, *(len(near[v]) for v in range(60))])
+    to = np.array([u for v in range(60) for u in sorted(near[v])], np.int32)
+    for s in range(60):
+        want = dependencies(near, s)
+        assert np.allclose(shares(starts, to, s), [want.get(v, 0.0) for v in range(60)], rtol=1e-12)
+
+
+def test_betweenness_takes_more_links_than_dictionaries_did():
+    import inspect
+
+    from quern.operators.analytics import betweenness
+
+    assert inspect.signature(betweenness).parameters["most_links"].default > 2_000_000
