@@ -48,6 +48,8 @@ UNIT, ROUNDS = 24_000_000, 3
 CLASSES = 4
 #: How many words a document's urn starts from, beside endless ones: powers of eight, so that nothing is chosen by results.
 STRENGTHS = tuple(8.0**k for k in range(1, 5))
+#: Words of documents that are summed up at once, about.
+TOGETHER = 1 << 15
 NEVER = -math.inf
 
 
@@ -237,18 +239,48 @@ def log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def urns(logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """By strength (rows) and class, the log probability of a document's words, ``counts`` times each word of
-    log probabilities ``logs``, the strengths being equally likely."""
-    total = counts.sum()
-    out = [counts @ logs]
+    """By strength (rows) and class, what urns_of() gives for one document."""
+    return urns_of(logs, counts, np.array([0, len(counts)]))[:, 0]
+
+
+def urns_of(logs: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """By strength, document and class, the log probability of a document's words, the strengths being equally likely.
+
+    Rows of ``logs`` are words' log probabilities by class, drawn ``counts`` times; those of document d go from ``starts[d]`` to ``starts[d + 1]``.
+    """
+    of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     once, more = counts < 2, counts > 1
+    total, ones = added(counts[:, None], of, starts), added(counts[once, None], of[once], starts)
+    out = [added(counts[:, None] * logs, of, starts)]
+    single, odds = added(counts[once, None] * logs[once], of[once], starts), np.exp(logs[more])
     for strength in STRENGTHS:
-        x = strength * np.exp(logs[more])
-        drawn = logs[once].T @ counts[once] + math.log(strength) * counts[once].sum() + log_rising(x, counts[more, None]).sum(axis=0)
+        drawn = single + math.log(strength) * ones + added(log_rising(strength * odds, counts[more, None]), of[more], starts)
         out.append(drawn - log_rising(np.float64(strength), total))
     return np.stack(out) - math.log(len(out))
 
 
+def added(values: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of rows by document, ``of`` ascending; documents without a row have zeros."""
+    out = np.zeros((len(starts) - 1, values.shape[1]))
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    if len(first):
+        out[of[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+def several(steps: list[bytes], parts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What unpacked() gives for documents a to b, and where each one's starts, about ``TOGETHER`` words at a time."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends, a = np.cumsum(sizes), 0
+    while a < len(parts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + TOGETHER, "right")))
+        starts = np.concatenate([[0], np.cumsum(sizes[a:b])])
+        numbers, counts = unpacked(b"".join(steps[a:b]), b"".join(parts[a:b]))
+        before = np.concatenate([[0], numbers])[starts[:-1]]
+        yield a, b, numbers - np.repeat(before, sizes[a:b]), counts, starts
+        a = b
+
+
 def units(docs: DataFrame, unit: int) -> DataFrame:
     """Documents as numbers and counts of their unit's words, and the units' dictionaries, in one table.
 
@@ -412,13 +444,16 @@ def scores(docs: DataFrame, vocabulary: str | None = None, unit: int = UNIT, cla
         c, logs = np.zeros(len(at), np.int64), np.zeros((len(at), kinds + 1))
         c[at], logs[at] = given_c, given_logs.reshape(-1, kinds + 1)
         base = np.log10((c + 1) / size_all)
-        rows = []
-        for ids, counts in zip(left.column("numbers").to_pylist(), left.column("counts").to_pylist(), strict=True):
-            i, k = unpacked(ids, counts)
-            each = urns(logs[i, :kinds] * LOG10 - not_end, k) + k.sum() * not_end + end_score * LOG10
-            alone = float(k @ logs[i, kinds]) + math.log10(END)
-            rows.append((int(k[c[i] > 0].sum()) + any_end, float(base[i] @ k) + end_base, round(float(np.logaddexp.reduce(each, axis=None) / LOG10), 6), round(alone, 6)))
-        known_, base_, score_, alone_ = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(np.asarray(left.column("n").to_numpy()) + 1), pa.array(known_, pa.int64()), pa.array([n_all] * len(rows), pa.int64()), pa.array(base_, pa.float64()), pa.array(score_, pa.float64()), pa.array(alone_, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
+        known_, base_, score_, alone_ = (np.zeros(left.num_rows, x) for x in (np.int64, float, float, float))
+        for a, b, i, k, starts in several(left.column("numbers").to_pylist(), left.column("counts").to_pylist()):
+            of, k_ = np.repeat(np.arange(b - a), np.diff(starts)), k[:, None]
+            drawn = added(k_, of, starts)
+            each = urns_of(logs[i, :kinds] * LOG10 - not_end, k, starts) + drawn * not_end + end_score * LOG10
+            known_[a:b] = added(k_ * (c[i, None] > 0), of, starts)[:, 0] + any_end
+            base_[a:b] = added(k_ * base[i, None], of, starts)[:, 0] + end_base
+            score_[a:b] = np.logaddexp.reduce(each, axis=(0, 2)) / LOG10
+            alone_[a:b] = added(k_ * logs[i, kinds, None], of, starts)[:, 0] + math.log10(END)
+        known_, base_, score_, alone_ = known_.tolist(), base_.tolist(), score_.round(6).tolist(), alone_.round(6).tolist()
+        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(np.asarray(left.column("n").to_numpy()) + 1), pa.array(known_, pa.int64()), pa.array([n_all] * left.num_rows, pa.int64()), pa.array(base_, pa.float64()), pa.array(score_, pa.float64()), pa.array(alone_, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
     return texts.select("unit", "doc_id", "held_out", "n", "numbers", "counts").groupBy("unit").cogroup(known.groupBy("of")).applyInArrow(add_up, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")

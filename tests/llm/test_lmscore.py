@@ -155,3 +155,25 @@ def test_every_round_is_fitted_on_all_words(spark):
         shared = lmscore.reweighted(first, lmscore.expect(shared, made, np.ones((len(made), 1))))
     got = lmscore.fit(rows, 1, path)
     assert np.allclose(got.weights[-1], shared.weights[0], rtol=0, atol=1e-9)
+
+
+def test_documents_together_as_one_by_one(monkeypatch):
+    """Several documents' words are summed up at once, those of empty and of longest ones too."""
+    import numpy as np
+
+    monkeypatch.setattr(lmscore, "TOGETHER", 40)
+    rng = np.random.default_rng(3)
+    sizes = [0, 5, 0, 0, 90, 1, 30, 9, 0]
+    ids = [np.sort(rng.choice(300_000, n, replace=False)) for n in sizes]
+    counts = [rng.choice([1, 2, 7, 700], n) for n in sizes]
+    logs = np.log(rng.random((300_000, 2)) / 1000)
+    seen = 0
+    for a, b, i, k, starts in lmscore.several(*zip(*(lmscore.packed(x, y) for x, y in zip(ids, counts)))):
+        together = lmscore.urns_of(logs[i], k, starts)
+        assert a == seen and len(starts) == b - a + 1
+        for d in range(a, b):
+            x, y = lmscore.unpacked(*lmscore.packed(ids[d], counts[d]))
+            assert np.array_equal(i[starts[d - a] : starts[d - a + 1]], x) and np.array_equal(k[starts[d - a] : starts[d - a + 1]], y)
+            np.testing.assert_allclose(together[:, d - a], lmscore.urns(logs[x], y), rtol=1e-12, atol=1e-9)
+        seen = b
+    assert seen == len(sizes)
