@@ -95,3 +95,16 @@ def test_fingerprints_come_first(spark, tmp_path):
     with pytest.raises(Exception, match="not exist|FILE_NOT_EXIST|FileNotFound"):
         texts.collect()
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_pairs_far_apart_go_before_their_texts_are_read(spark, texts):
+    """Maps drop no similar pair, and most of those that share a passage only."""
+    given = cases(texts)
+    sets = {k: nearcopies.shingles((t or "").encode()) for k, t in given.items()}
+    keys = sorted(given)
+    every = [(a, b) for a in keys for b in keys if a < b]
+    similar = {(a, b) for a, b in every if nearcopies.similar(sets[a], sets[b])}
+    mapped = nearcopies.maps(spark.createDataFrame(list(given.items()), "sig long, text string"))
+    kept = {(r["a"], r["b"]) for r in nearcopies.possible(spark.createDataFrame(every, "a long, b long"), mapped).collect()}
+    assert similar <= kept
+    assert len(kept) < 2 * len(similar)
