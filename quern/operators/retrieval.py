@@ -52,22 +52,27 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 5, least: float =
 
 def variants(nodes: DataFrame, longest: int = 4) -> DataFrame:
     """(name, id, label): ways to write each title, with one node for each name: Group before Artist before the rest, then the smaller id."""
-    t = F.lower(display(F.col("title")))
-    w = F.split(t, " ")
+    rank = F.when(F.col("label") == "Group", 0).when(F.col("label") == "Artist", 1).otherwise(2)
+    best = F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("label"))).alias("b")
+    # one node for each title first, and columns that lambdas read made before them: else they are made anew for each run of words
+    titles = nodes.groupBy("title").agg(best).select("b", F.lower(display(F.col("title"))).alias("t"))
+    at = titles.select("b", "t", F.split("t", " ").alias("w"))
+    t, w = F.col("t"), F.col("w")
     runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
     ways = F.concat(F.array(t, F.translate(t, "-", " "), F.translate(t, " -", ""), F.translate(t, " ", "-"), F.trim(F.regexp_replace(t, "[0-9]", ""))), runs)
-    rows = nodes.select("id", "label", F.explode(F.array_distinct(ways)).alias("name")).filter(F.length("name") >= 2)
-    rank = F.when(F.col("label") == "Group", 0).when(F.col("label") == "Artist", 1).otherwise(2)
-    best = F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("label")))
-    return rows.groupBy("name").agg(best.alias("b")).select("name", "b.id", "b.label")
+    rows = at.select("b", F.explode(F.array_distinct(ways)).alias("name")).filter(F.length("name") >= 2)
+    return rows.groupBy("name").agg(F.min("b").alias("b")).select("name", "b.id", "b.label")
 
 
 def linked(questions: DataFrame, dictionary: DataFrame, longest: int = 4, most: int = 5) -> DataFrame:
     """(question_id, place, id, name): dictionary names in each question, longer ones first, none inside another, up to ``most``."""
     w = F.filter(F.split(F.regexp_replace(F.lower("question"), r"[.,;:!?\"()]", " "), " "), lambda x: x != "")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice("w", i, n), " ").alias("name")))))
-    spots = questions.select("question_id", w.alias("w")).select("question_id", F.explode(runs).alias("s")).select("question_id", "s.*")
-    hits = spots.join(dictionary.select("name", "id"), "name").groupBy("question_id").agg(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("shorter"), "start", "end", "name", "id")).alias("all"))
+    # runs are made once for each text, however many questions have it
+    texts = questions.select("question").distinct().select("question", w.alias("w"))
+    spots = texts.select("question", F.explode(runs).alias("s")).select("question", "s.*")
+    hits = spots.join(dictionary.select("name", "id"), "name").groupBy("question").agg(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("shorter"), "start", "end", "name", "id")).alias("found"))
+    hits = questions.select("question_id", "question").join(hits, "question").groupBy("question_id").agg(F.flatten(F.collect_list("found")).alias("all"))
     kept = F.aggregate(F.array_sort("all"), F.slice("all", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: ((y["start"] < x["end"]) & (x["start"] < y["end"])) | (y["name"] == x["name"])), a).otherwise(F.concat(a, F.array(x))))
     return hits.select("question_id", F.posexplode(F.slice(kept, 1, most)).alias("place", "m")).select("question_id", "place", "m.id", "m.name")
 
