@@ -108,3 +108,35 @@ def test_pairs_far_apart_go_before_their_texts_are_read(spark, texts):
     kept = {(r["a"], r["b"]) for r in nearcopies.possible(spark.createDataFrame(every, "a long, b long"), mapped).collect()}
     assert similar <= kept
     assert len(kept) < 2 * len(similar)
+
+
+def test_maps_tell_long_texts_apart(spark):
+    """Texts of thousands of words that share a passage go by their maps; long near copies stay, of unlike widths too."""
+    rng = random.Random(2)
+    text = lambda n: [str(rng.randrange(1 << 30)) for _ in range(n)]
+    passage, base = text(100), text(4104)
+    given = [passage + text(8000), passage + text(8200), base, base[:4050] + text(30), base[:4000] + text(900)]
+    mapped = nearcopies.maps(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(given)], "sig long, text string"))
+    every = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    kept = {(r["a"], r["b"]) for r in nearcopies.possible(spark.createDataFrame(every, "a long, b long"), mapped).collect()}
+    assert kept == {(2, 3), (2, 4), (3, 4)}
+    assert len({len(r["map"]) for r in mapped.collect()}) > 1
+
+
+def test_lists_are_told_by_maps_first(texts):
+    """Groups hold every similar pair of two labels, and few others; a group that many lists have is one."""
+    import numpy as np
+    import pyarrow as pa
+
+    given = cases(texts)
+    sets = {k: nearcopies.shingles((t or "").encode()) for k, t in given.items()}
+    sets = {k: h for k, h in sets.items() if len(h)}
+    n, size = len(sets), [len(h) for h in sets.values()]
+    label = [k % 7 for k in sets]
+    one = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(list(sets)), pa.array(size, pa.int32()), pa.array([s // 2 for s in size], pa.int32()), pa.array(label), pa.array(map(nearcopies.flips, sets.values()), pa.binary())], ["key", "sig", "size", "place", "label", "map"])
+    two = one.set_column(0, "key", pa.array([2] * n))
+    rows = [tuple(r.values()) for b in nearcopies.close_lists(iter([one.slice(0, 50), one.slice(50), two])) for r in b.to_pylist()]
+    assert len(rows) == 2 * len(set(rows)) < 2 * n
+    group = {sig: key for key, sig, _ in rows}
+    similar = [(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and nearcopies.may(*(np.array([x]) for x in (len(sets[a]), len(sets[a]) // 2, len(sets[b]), len(sets[b]) // 2)))[0] and nearcopies.similar(sets[a], sets[b])]
+    assert similar and all(group[a] == group[b] for a, b in similar)
