@@ -139,3 +139,18 @@ def test_greedy_modularity_over_lists(spark, monkeypatch):
     ids, pairs, nodes, links = made(spark)
     near = {v: {b for a, b in pairs | {(b, a) for a, b in pairs} if a == v} for v in ids}
     assert {r["id"]: r["community"] for r in C.greedy_modularity(nodes, links).collect()} == merged_pair_by_pair(near)
+
+
+def test_shares_hold_a_bounded_part_of_the_links():
+    import tracemalloc
+
+    from quern.operators.analytics import shares
+
+    n = 2500
+    to = np.concatenate([np.delete(np.arange(n, dtype=np.int32), v) for v in range(n)])
+    starts = np.arange(n + 1) * (n - 1)
+    tracemalloc.start()
+    got = shares(starts, to, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not got.any() and peak < 4 * to.nbytes
