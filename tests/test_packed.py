@@ -154,3 +154,15 @@ def test_shares_hold_a_bounded_part_of_the_links():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert not got.any() and peak < 4 * to.nbytes
+
+
+def test_clustering_makes_no_pairs_of_neighbours(spark, monkeypatch):
+    from quern.operators import analytics as A
+
+    ids, pairs, nodes, links = made(spark, 120, 1500)
+    near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in ids}
+    want = {v: sum(b in near[a] for a in x for b in x) / (len(x) * (len(x) - 1)) if len(x) > 1 else 0.0 for v, x in near.items()}
+    by_joins = {r["id"]: r["clustering"] for r in A.clustering(nodes, links, most_links=10).collect()}
+    monkeypatch.setattr(A, "triangles", lambda pairs: pytest.fail("triangles were joined"))
+    by_lists = {r["id"]: r["clustering"] for r in A.clustering(nodes, links).collect()}
+    assert by_lists == pytest.approx(want) and by_joins == pytest.approx(want) and max(want.values()) > 0
