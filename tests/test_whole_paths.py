@@ -49,3 +49,20 @@ def test_directed_from_all_customers(spark):
     got = plans.queries()["p2_directed_shortest"](spark, SF).collect()
     assert {(r["src"], r["dst"]): tuple(r["path"]) for r in got} == want and len(got) == len(want)
     assert len({r["src"] for r in got}) > 2
+
+
+def test_a_hubs_pairs_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import paths as P
+
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        edges = spark.createDataFrame([(f"c{i}", "hub", "MEMBER_OF") for i in range(200)], "src string, dst string, rel_type string")
+        parts = P.two_hops(edges, P.FEW).groupBy(F.spark_partition_id()).count().collect()
+        whole = P.two_hops(edges, 10).count()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r["count"] for r in parts) == whole == 200 * 199
+    assert max(r["count"] for r in parts) < whole / 2
