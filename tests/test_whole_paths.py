@@ -66,3 +66,19 @@ def test_a_hubs_pairs_are_dealt_out(spark):
         spark.conf.set(name, before)
     assert sum(r["count"] for r in parts) == whole == 200 * 199
     assert max(r["count"] for r in parts) < whole / 2
+
+
+def test_simple_paths_are_not_dealt_out(spark):
+    from quern.operators import paths as P
+
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        edges = P.both_ways(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long"))
+        starts = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+        held, dealt = P.simple_paths(edges, starts, few=P.FEW), P.simple_paths(edges, starts)
+        assert "SortMergeJoin" not in held._jdf.queryExecution().toString() and "SortMergeJoin" in dealt._jdf.queryExecution().toString()
+        told = [sorted((r["src"], r["dst"], r["hops"], tuple(r["path"])) for r in x.collect()) for x in (held, dealt)]
+    finally:
+        spark.conf.set(name, before)
+    assert told[0] == told[1] and (1, 4, 3, (1, 2, 3, 4)) in told[0] and all(len(set(r[3])) == r[2] + 1 for r in told[0])
